@@ -5,9 +5,13 @@ from tidelog.llm.language import op8_language
 from tidelog.llm.packing import op7_packing
 from tidelog.llm.pii import op9_pii
 from tidelog.llm.sstable import op3_sstable
+from tidelog.llm.toxicity import op5_toxicity
+from tidelog.llm.urls import op2_url_filter
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_sstable": op3_sstable,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_pii": op9_pii,
