@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: UTF-8 byte table: A-Z become a-z, every other ASCII byte outside [0-9a-z] becomes a space.
@@ -45,6 +45,24 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def bounded_sample(rows: DataFrame, key: str, per: int) -> DataFrame:
+    """At most ``per`` rows of each value of ``key`` (few values): those of the smallest text hash, whole rows.
+
+    A count gives each value's hash threshold, so that little more than the sample is ever shuffled. Rows of
+    equal text and key count once.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect() if r[0] is not None}
+    h = F.xxhash64("text")
+    within = F.lit(False)
+    for value, n in counts.items():
+        share = min(1.0, 1.5 * per / n)
+        top = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+        within = F.when(F.col(key) == F.lit(value), h <= F.lit(min(top, 2**63 - 1))).otherwise(within)
+    few = rows.where(within).withColumn("__h", h).dropDuplicates(["__h", key])
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("__h"))
+    return few.withColumn("__r", rank).where(F.col("__r") <= per).drop("__h", "__r")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
     """Equi-join where one key may hold a large share of ``big``.
 

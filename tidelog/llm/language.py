@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import id_crc, table
+from tidelog.llm.common import bounded_sample, id_crc, table
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
@@ -103,9 +103,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120, ra
 
 def train(docs: DataFrame) -> Model | None:
     """docs: text, lang and anything else; which rows to learn from is the caller's choice."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("text", "lang", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = rows.withColumn("r", rank).where(F.col("r") <= PER_LANGUAGE).orderBy("r", "lang").limit(MAX_ROWS)
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("text", "lang")
+    picked = bounded_sample(rows, "lang", PER_LANGUAGE).withColumn("h", F.xxhash64("text")).orderBy("h", "lang").limit(MAX_ROWS)
 
     def run(batches):
         for b in batches:

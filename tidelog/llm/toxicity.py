@@ -12,17 +12,17 @@ Learning uses at most ``PER_CLASS`` labelled rows of each class; scoring covers
 examples' ids with their cosines.
 
 Edge cases: null and empty texts are scored as texts without terms; repeated rows each get a row; labels with null
-toxic or doc_id are not learned from; without any labelled row every score is 0; an empty table gives an empty result.
+toxic or doc_id are not learned from; without any labelled row every score is 0; equal texts of one class are one example; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import id_crc, materialize, table, words_of
+from tidelog.llm.common import bounded_sample, id_crc, materialize, table, words_of
 
 TERMS, PER_CLASS, NEIGHBOURS, BLOCK = 256, 3000, 25, 64
 MIN_DF, MIN_CHI2 = 5, 15.0
@@ -128,9 +128,9 @@ def train(rows: DataFrame) -> Model | None:
     counts = {r[0]: r[1] for r in src.groupBy("toxic").count().collect()}
     if not counts:
         return None
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = materialize(src.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_CLASS).drop("r"), "examples")
-    n1, n0 = min(PER_CLASS, counts.get(1, 0)), min(PER_CLASS, counts.get(0, 0))
+    sample = materialize(bounded_sample(src.withColumn("text", F.coalesce("text", F.lit(""))), "toxic", PER_CLASS), "examples")
+    have = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = have.get(1, 0), have.get(0, 0)
     per = _distinct_words(sample).groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
     n = float(n0 + n1)
     b = F.col("df") - F.col("a")
