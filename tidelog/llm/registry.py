@@ -2,6 +2,7 @@
 
 from tidelog.llm.decontaminate import OP10_SQL, op10_decontamination
 from tidelog.llm.language import op8_language
+from tidelog.llm.neighbours import op6_neighbours
 from tidelog.llm.packing import op7_packing
 from tidelog.llm.pii import op9_pii
 from tidelog.llm.sstable import op3_sstable
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_sstable": op3_sstable,
     "op5_toxicity": op5_toxicity,
+    "op6_neighbours": op6_neighbours,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_pii": op9_pii,
