@@ -154,7 +154,7 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns. Documents without an id are judged like others."""
     flagged = contamination(docs, items).where("contaminated").select("doc_id").distinct()
-    marked = salted_join(docs, flagged.withColumn("__bad", F.lit(True)), ["doc_id"], "left", salts=1)
+    marked = salted_join(docs, materialize(flagged.withColumn("__bad", F.lit(True)), "flagged"), ["doc_id"], "left", salts=1)
     return marked.where("__bad IS NULL").drop("__bad")
 
 
