@@ -6,9 +6,10 @@
    frequent do not by that make those copies dissimilar. Cells with frequencies above 1 / RARE are few at every size.
 2. ICWS draws ``BANDS * ROWS`` samples of each distinct text: samples of two texts agree with the probability of
    their weighted Jaccard similarity. Each band of ROWS samples is one key.
-3. In each key's bucket every member meets the bucket's least member only, and the pair is verified by the
-   exact weighted Jaccard similarity. Members that fail there meet the next least member, and then smaller buckets of two
-   bands' keys, so that texts which only share a common passage do not hide each other's copies.
+3. In each key's bucket every member meets one centre only, the member that meets others most often, and the pair is
+   verified by the exact weighted Jaccard similarity. Members that fail there meet, in smaller buckets of two bands'
+   keys, a member that did not fail, and then one another's centre, so that texts which only share a common passage do
+   not hide each other's copies.
 4. Verified links make classes by connected components. Equal texts are one node from the start.
 
 Repeated passes over the texts replace shuffling their shingles. Samples per text are what is shuffled, and whole texts
@@ -35,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 CELL_BITS, RARE, IDF_TOP = 18, 64, 1.5
 CELLS = 1 << CELL_BITS
+#: Smaller buckets of a member whose centre was not similar; bits of the map of texts to fetch.
+SUB, MATE_BITS = 4, 1 << 25
 #: Pairs of one centre that meet in one task.
 FAN = 200
 _rng = np.random.default_rng(1)
@@ -167,32 +170,64 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node string, bands array<bigint>")
 
 
-def _centre_pairs(keys: DataFrame) -> DataFrame:
-    """keys (k, node) -> (k, node, centre) for buckets of two or more, without the centres themselves."""
-    buckets = keys.groupBy("k").agg(F.min("node").alias("centre"), F.max("node").alias("__last")).where("centre <> __last").drop("__last")
-    return salted_join(keys, buckets, ["k"], "inner", 8).where("node <> centre")
+def _crowded(keys: DataFrame) -> DataFrame:
+    """keys (k, node) -> (k, node, deg) in buckets of two or more; deg: how often a node meets another one in any of them."""
+    sizes = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialize(salted_join(keys, sizes, ["k"], "inner", 8), "crowded")
+    return materialize(rows.join(rows.groupBy("node").agg(F.sum("n").alias("deg")), "node").select("k", "node", "deg"), "members")
+
+
+def _star(rows: DataFrame, candidates: DataFrame, *order: str) -> DataFrame:
+    """(k, node, centre): each row of ``rows`` with its bucket's centre, the greatest candidate by ``order`` and node."""
+    centres = candidates.groupBy("k").agg(F.max(F.struct(*order, "node"))["node"].alias("centre"))
+    return materialize(salted_join(rows.select("k", "node"), centres, ["k"], "inner", 8).where("node <> centre"), "met")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (doc_id, node). A bitmap of fixed size lets only their rows, and few others, reach the join."""
+    cell = F.pmod(F.xxhash64("doc_id", "node"), F.lit(MATE_BITS))
+    set_ = wanted.groupBy((cell / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))).alias("v")).toPandas()
+    bits = np.zeros(MATE_BITS // 64, dtype=np.int64)
+    bits[set_["w"].to_numpy(dtype=int)] = set_["v"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches):
+        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
+        for b in batches:
+            c = b.column(3).to_numpy()
+            yield b.filter(pa.array(((bitmap[c >> 3] >> (c & 7).astype(np.uint8)) & 1).astype(bool)))
+
+    src = docs.select("doc_id", "node", "text", cell.alias("cell"))
+    near = src.mapInArrow(run, src.schema)
+    return materialize(near.join(wanted, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """(centre, node, similarity) of distinct pairs; a centre with many pairs is dealt over several tasks."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     fan = materialize(pairs.groupBy("centre").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")), "fan")
-    left = texts.join(fan, texts["node"] == fan["centre"]).select("centre", F.col("text").alias("a"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("s"))
+    # A stream of rows in which each centre's text comes once, before those of its pairs: no text is repeated per pair.
+    left = texts.join(fan, texts["node"] == fan["centre"]).select("centre", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("s"), F.lit("").alias("node"), "text")
     dealt = salted_join(pairs, fan, ["centre"], "inner", 8).withColumn("s", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int")).drop("fan")
-    right = dealt.join(texts.withColumnRenamed("text", "b"), "node")
+    right = dealt.join(texts, "node").select("centre", "s", "node", "text")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = left.unionByName(right).repartition(n, "centre", "s").sortWithinPartitions("centre", "s", "node")
 
     def run(batches):
-        w, last, sh = shared.value, None, None
+        w, sh = shared.value, None
         for b in batches:
-            sim = []
-            for centre, raw_a, raw_b in zip(b.column(0).to_pylist(), b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True):
-                if centre != last:
-                    last, sh = centre, shingles(raw_a.as_py())
-                sim.append(weighted_jaccard(sh, shingles(raw_b.as_py()), w))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], ["centre", "node", "similarity"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                out = ([], [], [])
+                for centre, node, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                    if not node:
+                        sh = shingles(raw)
+                        continue
+                    for o, x in zip(out, (centre, node, weighted_jaccard(sh, shingles(raw), w)), strict=True):
+                        o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["centre", "node", "similarity"])
 
-    met = right.join(left, ["centre", "s"]).select("centre", "node", "a", "b")
-    return met.mapInArrow(run, "centre string, node string, similarity double")
+    return stream.mapInArrow(run, "centre string, node string, similarity double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -206,25 +241,32 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     member = materialize(keyed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("text") != ""), F.col("node")).alias("node")), "members")
     sigs = materialize(signatures(keyed.where("doc_id IS NOT NULL AND text <> ''"), idf).groupBy("node").agg(F.first("bands").alias("bands")), "bands")
     keys = sigs.select(F.posexplode("bands").alias("i", "h"), "node").select(F.xxhash64("i", "h").alias("k"), "node")
-    met = materialize(_centre_pairs(keys), "met")
-    mates = met.select("node").union(met.select("centre")).distinct()
-    first = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(mates.join(first, "node"), "mates")
-    texts = materialize(keyed.join(wanted, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-    links, deep = None, False
-    for turn in range(4):
+    crowd = _crowded(keys)
+    least = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = _texts_of(keyed, materialize(crowd.select("node").distinct().join(least, "node"), "mates"))
+    links = None
+
+    def verified(met: DataFrame) -> DataFrame:
+        """The rows of ``met`` whose pair is not similar; ``links`` gets the pairs that are new."""
+        nonlocal links
         pairs = met.select("centre", "node").distinct()
         if links is not None:
             pairs = pairs.join(links.select("centre", "node"), ["centre", "node"], "left_anti")
         new = materialize(_verify(materialize(pairs, "pairs"), texts, idf), "links")
         links = new if links is None else links.union(new)
-        failed = salted_join(met, links.where(F.col("similarity") < threshold).select("centre", "node").withColumn("__no", F.lit(True)), ["centre", "node"], "inner", 1).select("k", "node")
-        if turn == 1:  # smaller buckets: this band and another one
-            sub = failed.join(sigs, "node").select(F.col("k").alias("k0"), "node", F.posexplode("bands").alias("i", "h"))
-            failed = sub.select(F.xxhash64("k0", "i", "h").alias("k"), "node")
-        met = materialize(_centre_pairs(failed.distinct()), "met")
-        if met.isEmpty():
-            break
+        no = links.where(F.col("similarity") < threshold).select("centre", "node")
+        return materialize(met.join(no, ["centre", "node"], "left_semi").select("k", "node"), "failed")
+
+    failed = verified(_star(crowd, crowd, "deg"))
+    # Where a centre was not similar, all members of its bucket meet anew in smaller ones, of this band and one of SUB others.
+    whole = salted_join(crowd, failed.select("k").distinct(), ["k"], "inner", 8)
+    whole = whole.join(failed.withColumn("out", F.lit(True)), ["k", "node"], "left").withColumn("linked", F.col("out").isNull()).drop("out")
+    band = F.explode(F.slice("bands", F.pmod("k", F.lit(BANDS - SUB)).cast("int") + 1, F.lit(SUB)))
+    sub = whole.join(sigs, "node").select(F.col("k").alias("k0"), "node", "deg", "linked", band.alias("h"))
+    sub = materialize(sub.select(F.xxhash64("k0", "h").alias("k"), "node", "deg", "linked"), "sub")
+    failed = verified(_star(sub.where("NOT linked"), sub, "linked", "deg"))
+    again = materialize(sub.join(failed, ["k", "node"], "left_semi"), "again")
+    verified(_star(again, again, "deg"))
     edges = materialize(links.where(F.col("similarity") >= threshold), "edges")
     roots = connected_components(edges.select(F.col("centre").alias("a"), F.col("node").alias("b")))
     degree = edges.select(F.explode(F.array("centre", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
