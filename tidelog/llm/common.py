@@ -24,14 +24,14 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
-def bounded_sample(rows: DataFrame, key: str, per: int) -> DataFrame:
-    """At most ``per`` rows of each value of ``key`` (few values): those of the smallest text hash, whole rows.
+def bounded_sample(rows: DataFrame, key: str, per: int, by: str = "text") -> DataFrame:
+    """At most ``per`` rows of each value of ``key`` (few values): those of the smallest hash of ``by``, whole rows.
 
-    A count gives each value's hash threshold, so that little more than the sample is ever shuffled. Rows of
-    equal text and key count once.
+    A count gives each value's hash threshold, so that little more than the sample is ever shuffled. Rows equal in
+    ``by`` and key count once.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect() if r[0] is not None}
-    h = F.xxhash64("text")
+    h = F.xxhash64(by)
     within = F.lit(False)
     for value, n in counts.items():
         share = min(1.0, 1.5 * per / n)

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 A text is its TF-IDF vector over ``TERMS`` words, those that tell the labels apart best by chi-square on the
-labelled sample (words that do not are noise that hides the neighbours of a long text). The ``NEIGHBOURS``
+labelled sample and are at least ``LIFT`` times as frequent under one label (others, such as the common words of a
+language, are noise that hides the neighbours of a long text). The ``NEIGHBOURS``
 examples of greatest cosine are found exactly with an inverted index in blocks of ``BLOCK`` examples: each
 term keeps its largest weight in each block, so a block's upper bound is known before its postings are read,
 and blocks are read in order of that bound until it falls below the last neighbour's cosine. Their
@@ -12,7 +13,7 @@ Learning uses at most ``PER_CLASS`` labelled rows of each class; scoring covers
 examples' ids with their cosines.
 
 Edge cases: null and empty texts are scored as texts without terms; repeated rows each get a row; labels with null
-toxic or doc_id are not learned from; without any labelled row every score is 0; equal texts of one class are one example; an empty table gives an empty result.
+toxic or doc_id are not learned from, and of several labels of one id the greatest counts; without any labelled row every score is 0; equal texts of one class are one example; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import bounded_sample, id_crc, materialize, table, words_of
 
 TERMS, PER_CLASS, NEIGHBOURS, BLOCK = 256, 3000, 25, 64
-MIN_DF, MIN_CHI2 = 5, 15.0
+MIN_DF, MIN_CHI2, LIFT = 5, 15.0, 3.0
 #: Query vectors remembered per Python worker.
 MEMO = 50_000
 
@@ -122,20 +123,28 @@ def _distinct_words(rows: DataFrame) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(run, "toxic int, words array<binary>").select("toxic", F.explode("words").alias("word"))
 
 
-def train(rows: DataFrame) -> Model | None:
-    """rows: doc_id, text, toxic (0 or 1), labelled rows to learn from."""
-    src = rows.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r[0]: r[1] for r in src.groupBy("toxic").count().collect()}
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """docs: doc_id, text, the rows that may be learned from; labels: doc_id, toxic (0 or 1).
+
+    Ids are sampled without their texts; the sample's ids, 2 * PER_CLASS at most, are then broadcast to fetch the texts.
+    """
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = docs.select("doc_id").join(known, "doc_id")
+    counts = {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
     if not counts:
         return None
-    sample = materialize(bounded_sample(src.withColumn("text", F.coalesce("text", F.lit(""))), "toxic", PER_CLASS), "examples")
+    picked = materialize(bounded_sample(ids, "toxic", PER_CLASS, "doc_id"), "picked")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = materialize(sample.dropDuplicates(["text", "toxic"]), "examples")
     have = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = have.get(1, 0), have.get(0, 0)
     per = _distinct_words(sample).groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
     n = float(n0 + n1)
     b = F.col("df") - F.col("a")
     chi2 = n * F.pow(F.col("a") * (n0 - b) - b * (n1 - F.col("a")), 2) / (F.col("df") * (n - F.col("df")) * n0 * n1) if n0 and n1 else F.lit(0.0)
-    best = per.where((F.col("df") >= MIN_DF) & (F.col("df") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).toPandas()
+    lift = (F.col("a") + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
+    telling = (F.col("df") >= MIN_DF) & (F.col("df") < n) & ((lift >= LIFT) | (lift <= 1 / LIFT))
+    best = per.where(telling).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).toPandas()
     terms = [bytes(w) for w in best["word"]]
     idf = np.log((n + 1) / (best["df"].to_numpy(dtype=float) + 1)) + 1 if terms else np.zeros(0)
     weight = np.array([counts.get(0, 0) / n0 if n0 else 1.0, counts.get(1, 0) / n1 if n1 else 1.0])
@@ -201,5 +210,4 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], evidence: int =
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_crc("doc_id") % 5 == 0)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return score(docs, train(docs.where("NOT held_out").join(labels, "doc_id")), ["doc_id", "held_out"])
+    return score(docs, train(docs.where("NOT held_out"), table(spark, sf_dir, "labels")), ["doc_id", "held_out"])
