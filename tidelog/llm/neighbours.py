@@ -189,14 +189,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, target: float =
 
     def meet(points_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         if points_.empty or asked_.empty:
-            return pd.DataFrame({"q": [], "d": [], "ids": []})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64"), "ids": pd.Series(dtype=object)})
         out = []
         p = np.stack(list(points_["v"]))
         for lo in range(0, len(asked_), 256):
             part = asked_.iloc[lo : lo + 256]
             pos, d = distances(np.stack(list(part["v"])), p, k + 1)
-            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), pos.shape[1]), "d": d.ravel(), "ids": points_["ids"].to_numpy()[pos.ravel()]}))
-        return pd.concat(out)
+            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), pos.shape[1]), "d": d.ravel(), "ids": [list(x) for x in points_["ids"].to_numpy()[pos.ravel()]]}))
+        return pd.concat(out, ignore_index=True)
 
     key = ["leaf", "part", "grp"]
     met = split.groupBy(*key).cogroup(going.groupBy(*key)).applyInPandas(meet, "q bigint, d double, ids array<bigint>")
