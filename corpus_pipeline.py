@@ -27,9 +27,9 @@ MIN_SCORE = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language. The model learns from rows whose crc32(doc_id) mod 3 is not 1."""
     model = train(docs.where(id_crc("doc_id") % 3 != 1))
-    judged = identify(docs.withColumnRenamed("text", "__text").withColumn("text", F.col("__text")), model)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.withColumnRenamed("__text", "text").select(*docs.columns)
+    plain = docs.toDF(*[c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)])  # no name can clash with the result's
+    kept = identify(plain, model, plain.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

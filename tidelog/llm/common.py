@@ -15,7 +15,17 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Rows in a batch handed to Python, unless the session names another number: texts can be long.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +40,7 @@ def bounded_sample(rows: DataFrame, key: str, per: int, by: str = "text") -> Dat
     A count gives each value's hash threshold, so that little more than the sample is ever shuffled. Rows equal in
     ``by`` and key count once.
     """
+    small_batches(rows.sparkSession)
     counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect() if r[0] is not None}
     h = F.xxhash64(by)
     within = F.lit(False)

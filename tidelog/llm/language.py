@@ -80,14 +80,12 @@ class Model:
 
 
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120, rate: float = 20.0, decay: float = 1e-5) -> Model:
-    """Full-batch logistic regression per bit with momentum; every fifth row weighs the bits and is not fitted."""
+    """Full-batch logistic regression per bit with momentum; the last fifth of the rows weighs the bits and is not fitted."""
     codes = codewords(len(languages))
-    t, aside = codes[y], np.arange(len(y)) % 5 == 4
-    if aside.all() or (~aside).sum() < len(languages):
-        aside[:] = False
-    share = np.bincount(y[~aside], minlength=len(languages)).astype(float)
-    each = (1 / np.maximum(share, 1))[y[~aside]][:, None] / len(languages)
-    xt, tt = x[~aside], t[~aside]
+    t, cut = codes[y], len(y) - len(y) // 5
+    share = np.bincount(y[:cut], minlength=len(languages)).astype(float)
+    each = (1 / np.maximum(share, 1))[y[:cut]][:, None] / len(languages)
+    xt, tt = x[:cut], t[:cut]  # views: rows come in order of their hash
     w, b = np.zeros((x.shape[1], codes.shape[1]), dtype=np.float32), np.zeros(codes.shape[1])
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
@@ -95,9 +93,9 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120, ra
         vw = 0.9 * vw - rate * 0.1 * (xt.T @ g.astype(np.float32) + decay * w)
         vb = 0.9 * vb - rate * 0.1 * g.sum(0)
         w, b = w + vw.astype(np.float32), b + vb
-    held = aside if aside.any() else ~aside
-    right = ((x[held] @ w + b) * t[held] > 0).mean(0) if len(x) else np.ones(codes.shape[1])
-    trust = np.log((right * held.sum() + 1) / ((1 - right) * held.sum() + 1)).clip(0.1)
+    held = slice(cut if cut < len(y) else 0, len(y))
+    n, right = len(t[held]), ((x[held] @ w + b) * t[held] > 0).mean(0)
+    trust = np.log((right * n + 1) / ((1 - right) * n + 1)).clip(0.1)
     return Model(languages, codes, w, b, trust / trust.mean())
 
 
@@ -124,14 +122,18 @@ def train(docs: DataFrame) -> Model | None:
     x = np.zeros((len(got), DIM), dtype=np.float32)
     for r, (i, v) in enumerate(zip(got["i"], got["v"], strict=True)):
         x[r, i] = v
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    return fit(x, np.searchsorted(languages, got["lang"]), languages)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    y = np.searchsorted(languages, got["lang"])
+    del got
+    return fit(x, y, languages)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but text unless given), lang_pred, score, second, ambiguous."""
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at_text = src.columns.index("text")
 
     def run(batches):
         m = shared.value
@@ -139,7 +141,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             for lo in range(0, max(1, b.num_rows), 512):
                 part = b.slice(lo, 512)
                 pred, score, second, unsure = [], [], [], []
-                raws = part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
+                raws = part.column(at_text).cast(pa.binary()).to_pylist()
                 usable = [i for i, raw in enumerate(raws) if m is not None and raw and has_letter(raw)]
                 at = {i: k for k, i in enumerate(usable)}
                 if usable:
@@ -157,10 +159,10 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                         score.append(0.0)
                         second.append(None)
                         unsure.append(True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure, pa.bool_())], [*keep, "lang_pred", "score", "second", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure, pa.bool_())], [*keep, "lang_pred", "score", "second", "ambiguous"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}lang_pred string, score double, second string, ambiguous boolean")
+    return src.mapInArrow(run, f"{kinds}lang_pred string, score double, second string, ambiguous boolean")
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from tidelog.llm.tokens import encoder
 
 LIMIT, END_ID = 4096, 1
 #: Lengths over LIMIT / LARGE count as large; they are cut into GROUPS groups.
-LARGE, GROUPS = 8, 64
+LARGE, GROUPS = 8, 256
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

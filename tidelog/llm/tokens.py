@@ -11,7 +11,7 @@ import os
 from array import array
 
 #: Words kept per Python worker, and bases (below); about 150 bytes each. When full, a cache starts anew.
-CACHE_WORDS, CACHE_BASES = 500_000, 700_000
+CACHE_WORDS, CACHE_BASES = 300_000, 400_000
 #: One of these after a letter is a piece of its own.
 ENDS = ".,;:!?"
 #: Byte-level alphabet, fixed by the vocabulary's format: bytes without a printable Latin-1 character move up to 256 and on.
