@@ -75,7 +75,7 @@ def shortest_separator(a: bytes, b: bytes) -> bytes:
         n += 1
     # raise the first byte of a that leaves room below b
     for i in range(n, len(a)):
-        if a[i] < 0xFF:
+        if a[i] < 0xFF and (i > n or n >= len(b) or a[i] + 1 < b[i]):
             s = a[:i] + bytes([a[i] + 1])
             if s < b:
                 return s
