@@ -6,7 +6,7 @@ of the bit's margin against its codeword, weighted by how well that bit did on r
 small gap to the second flags ambiguity.
 
 Learning uses a sample of labelled rows bounded by ``PER_LANGUAGE`` and ``MAX_ROWS``; their n-gram counts, made on
-executors from whole texts, are what the driver gets. Scoring covers every row.
+executors from whole texts, are what the driver gets, as sparse rows. Scoring covers every row.
 
 Edge cases: ``und`` with score 0 if the text is null or has no letter, or if no labelled row exists; rows
 with null lang are not learned from; with a single language that one is always chosen. One row out per row in.
@@ -79,22 +79,46 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120, rate: float = 20.0, decay: float = 1e-5) -> Model:
+class Rows:
+    """Sparse rows of unit length: the cells and values of row r are at start[r] to start[r + 1]."""
+
+    BLOCK = 256
+
+    def __init__(self, start: np.ndarray, cell: np.ndarray, value: np.ndarray):
+        self.start, self.cell = start, cell
+        lengths = np.sqrt(np.add.reduceat(value * value, start[:-1]))
+        self.value = value / np.repeat(lengths, np.diff(start))
+
+    def blocks(self, lo: int, hi: int):
+        """(slice, dense rows) of at most BLOCK rows each: no more than one block is ever dense."""
+        for at in range(lo, hi, self.BLOCK):
+            end = min(at + self.BLOCK, hi)
+            out = np.zeros((end - at, DIM), dtype=np.float32)
+            inside = slice(self.start[at], self.start[end])
+            out[np.repeat(np.arange(end - at), np.diff(self.start[at : end + 1])), self.cell[inside]] = self.value[inside]
+            yield slice(at, end), out
+
+
+def fit(x: Rows, y: np.ndarray, languages: list[str], steps: int = 120, rate: float = 20.0, decay: float = 1e-5) -> Model:
     """Full-batch logistic regression per bit with momentum; the last fifth of the rows weighs the bits and is not fitted."""
     codes = codewords(len(languages))
     t, cut = codes[y], len(y) - len(y) // 5
     share = np.bincount(y[:cut], minlength=len(languages)).astype(float)
     each = (1 / np.maximum(share, 1))[y[:cut]][:, None] / len(languages)
-    xt, tt = x[:cut], t[:cut]  # views: rows come in order of their hash
-    w, b = np.zeros((x.shape[1], codes.shape[1]), dtype=np.float32), np.zeros(codes.shape[1])
+    w, b = np.zeros((DIM, codes.shape[1]), dtype=np.float32), np.zeros(codes.shape[1])
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
-        g = -tt / (1 + np.exp(np.clip(tt * (xt @ w + b), -30, 30))) * each
-        vw = 0.9 * vw - rate * 0.1 * (xt.T @ g.astype(np.float32) + decay * w)
-        vb = 0.9 * vb - rate * 0.1 * g.sum(0)
+        gw, gb = decay * w, np.zeros_like(b)
+        for s, rows in x.blocks(0, cut):  # rows come in order of their hash
+            g = -t[s] / (1 + np.exp(np.clip(t[s] * (rows @ w + b), -30, 30))) * each[s]
+            gw += rows.T @ g.astype(np.float32)
+            gb += g.sum(0)
+        vw = 0.9 * vw - rate * 0.1 * gw
+        vb = 0.9 * vb - rate * 0.1 * gb
         w, b = w + vw.astype(np.float32), b + vb
-    held = slice(cut if cut < len(y) else 0, len(y))
-    n, right = len(t[held]), ((x[held] @ w + b) * t[held] > 0).mean(0)
+    first = cut if cut < len(y) else 0
+    n = len(y) - first
+    right = sum((((rows @ w + b) * t[s]) > 0).sum(0) for s, rows in x.blocks(first, len(y))) / n
     trust = np.log((right * n + 1) / ((1 - right) * n + 1)).clip(0.1)
     return Model(languages, codes, w, b, trust / trust.mean())
 
@@ -114,17 +138,17 @@ def train(docs: DataFrame) -> Model | None:
                 val.append(np.sqrt(c[i]).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["lang", "h", "i", "v"])
 
-    got = picked.select("text", "lang", "h").mapInArrow(run, "lang string, h bigint, i array<int>, v array<float>").toPandas()
-    if got.empty:
+    got = picked.select("text", "lang", "h").mapInArrow(run, "lang string, h bigint, i array<int>, v array<float>").toArrow()
+    if not got.num_rows:
         return None
-    got = got.sort_values(["h", "lang"], kind="stable").reset_index(drop=True)
-    languages = sorted(got["lang"].unique())
-    x = np.zeros((len(got), DIM), dtype=np.float32)
-    for r, (i, v) in enumerate(zip(got["i"], got["v"], strict=True)):
-        x[r, i] = v
-    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    y = np.searchsorted(languages, got["lang"])
-    del got
+    got = got.sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+    named = got["lang"].to_pylist()
+    languages = sorted(set(named))
+    cells, values = (got[c].combine_chunks() for c in ("i", "v"))
+    start = np.append(0, np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False)))
+    x = Rows(start, cells.flatten().to_numpy(), values.flatten().to_numpy())
+    y = np.searchsorted(languages, named)
+    del got, cells, values
     return fit(x, y, languages)
 
 
