@@ -50,6 +50,26 @@ def test_icws_estimates_weighted_jaccard():
     assert abs(sim - same) < 0.25
 
 
+def test_prefix_filter_loses_no_similar_pair(spark):
+    """A family around one text, whose members are near the threshold to each other, against all pairs."""
+    rng, base, texts = np.random.default_rng(11), prose(12, 120).split(), []
+    for i in range(90):
+        ws = list(base)
+        for p in rng.choice(len(ws), i % 6, replace=False):
+            ws[p] = f"v{rng.integers(8)}"
+        texts.append(" ".join(ws))
+    texts = sorted(set(texts))
+    idf = np.full(neardup.CELLS, neardup.IDF_TOP, dtype=np.float32)
+    sh = [neardup.shingles(t.encode()) for t in texts]
+    root = [f"n{i - i % 3:03d}" for i in range(len(texts))]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if root[i] != root[j] and neardup.weighted_jaccard(sh[i], sh[j], idf) >= 0.8}
+    nodes = spark.createDataFrame([(f"n{i:03d}", t) for i, t in enumerate(texts)], "node string, text string")
+    classes = spark.createDataFrame([(f"n{i:03d}", r) for i, r in enumerate(root)], "node string, root string")
+    got = [(int(r[0][1:]), int(r[1][1:])) for r in neardup._possible(nodes, classes, idf, 0.8).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got)) and all(root[i] != root[j] for i, j in got)
+    assert neardup._possible(nodes.limit(0), classes, idf, 0.8).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 40)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

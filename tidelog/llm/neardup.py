@@ -7,9 +7,10 @@
 2. ICWS draws ``BANDS * ROWS`` samples of each distinct text: samples of two texts agree with the probability of
    their weighted Jaccard similarity. Each band of ROWS samples is one key.
 3. In each key's bucket every member meets one centre only, the member that meets others most often, and the pair is
-   verified by the exact weighted Jaccard similarity. Members that fail there meet, in smaller buckets of two bands'
-   keys, a member that did not fail, and then one another's centre, so that texts which only share a common passage do
-   not hide each other's copies.
+   verified by the exact weighted Jaccard similarity. Where a member fails there, other members may still be its copies: all texts
+   of such buckets are joined by a prefix filter, which loses no pair of the wanted similarity. A text's shingles are put
+   in order of their frequency among these texts; two texts that are similar enough share one of the first, rarest, few. Only
+   pairs of different classes, of sizes and places in that order that leave the similarity possible, are verified.
 4. Verified links make classes by connected components. Equal texts are one node from the start.
 
 Repeated passes over the texts replace shuffling their shingles. Samples per text are what is shuffled, and whole texts
@@ -26,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialize, salted_join, table, words_of
@@ -36,8 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 CELL_BITS, RARE, IDF_TOP = 18, 64, 1.5
 CELLS = 1 << CELL_BITS
-#: Smaller buckets of a member whose centre was not similar; bits of the map of texts to fetch.
-SUB, MATE_BITS = 4, 1 << 25
+#: Bits of the map of texts to fetch; what rounding may add to a weight; parts of a text's weight.
+MATE_BITS, SLACK, SKETCH = 1 << 25, 1e-5, 48
 #: Pairs of one centre that meet in one task.
 FAN = 200
 _rng = np.random.default_rng(1)
@@ -177,9 +178,9 @@ def _crowded(keys: DataFrame) -> DataFrame:
     return materialize(rows.join(rows.groupBy("node").agg(F.sum("n").alias("deg")), "node").select("k", "node", "deg"), "members")
 
 
-def _star(rows: DataFrame, candidates: DataFrame, *order: str) -> DataFrame:
-    """(k, node, centre): each row of ``rows`` with its bucket's centre, the greatest candidate by ``order`` and node."""
-    centres = candidates.groupBy("k").agg(F.max(F.struct(*order, "node"))["node"].alias("centre"))
+def _star(rows: DataFrame) -> DataFrame:
+    """(k, node, centre): each row with its bucket's centre, the one of greatest deg and node."""
+    centres = rows.groupBy("k").agg(F.max(F.struct("deg", "node"))["node"].alias("centre"))
     return materialize(salted_join(rows.select("k", "node"), centres, ["k"], "inner", 8).where("node <> centre"), "met")
 
 
@@ -230,6 +231,54 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return stream.mapInArrow(run, "centre string, node string, similarity double")
 
 
+def _weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(n, h, w): the weight of each shingle of each text; n is a text's number. ``texts``: n, text."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        idf = shared.value
+        for b in batches:
+            for n, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                h, c = shingles(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n)), pa.array(h.view(np.int64)), pa.array((c * idf[cells_of(h)]).astype(np.float64))], ["n", "h", "w"])
+
+    return texts.select("n", "text").mapInArrow(run, "n bigint, h bigint, w double")
+
+
+def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(centre, node): all pairs of texts of different classes whose similarity may reach the threshold t, by a prefix filter.
+
+    Two texts of weights A <= B have an overlap of t / (1 + t) * (A + B) or more, and A >= t * B. What stands before their first
+    common shingle is not common: at most 1 - 2t / (1 + t) of A and 1 - t of B. Shingles of one text only come first of all. Nor can the overlap
+    be more than the lesser weights in each of SKETCH parts that shingles are dealt into by hash. A shingle's most frequent class is
+    never paired with itself, so a family that is one class already costs nothing here.
+    """
+    named = materialize(texts.join(classes, "node").withColumn("n", F.monotonically_increasing_id()), "residue")
+    rows = materialize(_weights(named, idf), "weights")
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    part = F.pmod("h", F.lit(SKETCH))
+    sketch = F.array(*[F.sum(F.when(part == i, F.col("w")).otherwise(0.0)) for i in range(SKETCH)])
+    total = materialize(rows.groupBy("n").agg(F.sum("w").alias("total"), sketch.cast("array<float>").alias("sketch")), "totals")
+    order = Window.partitionBy("n").orderBy("df", "h")
+    left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    info = named.select("n", "node", "root").join(total.drop("sketch"), "n")
+    first = rows.join(common, "h").withColumn("left", left).select("n", "h", "left").join(info, "n")
+    # left: the weight from this shingle on. A row is of use if it can be the first common one of some pair.
+    first = materialize(first.where(F.col("left") >= threshold * F.col("total") * (1 - SLACK)).select("h", "node", "root", "total", "left"), "prefixes")
+    sizes = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    sketches = named.select("n", "node").join(total.select("n", "sketch"), "n").drop("n")
+    mixed = materialize(salted_join(first, sizes.select("h", "main"), ["h"], "inner", 8).join(sketches, "node"), "mixed")
+    a = mixed.where("root <> main").select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "total", "left", "sketch")])
+    b = mixed.select("h", "node", "root", "main", "total", "left", "sketch")
+    least = threshold / (1 + threshold) * (F.col("a_total") + F.col("total")) * (1 - SLACK)
+    at_most = F.aggregate(F.zip_with("a_sketch", "sketch", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y.cast("double"))
+    fits = (F.least("a_left", "left") >= least) & (at_most >= least)
+    near = F.least("a_total", "total") >= threshold * F.greatest("a_total", "total") * (1 - SLACK)
+    once = (F.col("root") == F.col("main")) | (F.col("a_node") < F.col("node"))
+    met = a.join(b, "h").where((F.col("a_root") != F.col("root")) & near & fits & once)
+    return met.select(F.greatest("a_node", "node").alias("centre"), F.least("a_node", "node").alias("node")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copies, n_links): class_id is the least doc_id of the class, copies the size of its class.
 
@@ -244,31 +293,17 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     crowd = _crowded(keys)
     least = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = _texts_of(keyed, materialize(crowd.select("node").distinct().join(least, "node"), "mates"))
-    links = None
-
-    def verified(met: DataFrame) -> DataFrame:
-        """The rows of ``met`` whose pair is not similar; ``links`` gets the pairs that are new."""
-        nonlocal links
-        pairs = met.select("centre", "node").distinct()
-        if links is not None:
-            pairs = pairs.join(links.select("centre", "node"), ["centre", "node"], "left_anti")
-        new = materialize(_verify(materialize(pairs, "pairs"), texts, idf), "links")
-        links = new if links is None else links.union(new)
-        no = links.where(F.col("similarity") < threshold).select("centre", "node")
-        return materialize(met.join(no, ["centre", "node"], "left_semi").select("k", "node"), "failed")
-
-    failed = verified(_star(crowd, crowd, "deg"))
-    # Where a centre was not similar, all members of its bucket meet anew in smaller ones, of this band and one of SUB others.
-    whole = salted_join(crowd, failed.select("k").distinct(), ["k"], "inner", 8)
-    whole = whole.join(failed.withColumn("out", F.lit(True)), ["k", "node"], "left").withColumn("linked", F.col("out").isNull()).drop("out")
-    band = F.explode(F.slice("bands", F.pmod("k", F.lit(BANDS - SUB)).cast("int") + 1, F.lit(SUB)))
-    sub = whole.join(sigs, "node").select(F.col("k").alias("k0"), "node", "deg", "linked", band.alias("h"))
-    sub = materialize(sub.select(F.xxhash64("k0", "h").alias("k"), "node", "deg", "linked"), "sub")
-    failed = verified(_star(sub.where("NOT linked"), sub, "linked", "deg"))
-    again = materialize(sub.join(failed, ["k", "node"], "left_semi"), "again")
-    verified(_star(again, again, "deg"))
+    met = _star(crowd)
+    links = materialize(_verify(materialize(met.select("centre", "node").distinct(), "pairs"), texts, idf), "links")
+    failed = met.join(links.where(F.col("similarity") < threshold).select("centre", "node"), ["centre", "node"], "left_semi").select("k").distinct()
     edges = materialize(links.where(F.col("similarity") >= threshold), "edges")
     roots = connected_components(edges.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    residue = salted_join(crowd, failed, ["k"], "inner", 8).select("node").distinct()
+    pairs = _possible(texts, residue.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), idf, threshold)
+    met_before = links.select(F.greatest("centre", "node").alias("centre"), F.least("centre", "node").alias("node"))
+    more = _verify(materialize(pairs.join(met_before, ["centre", "node"], "left_anti"), "pairs"), texts, idf)
+    edges = materialize(edges.union(more.where(F.col("similarity") >= threshold)), "edges")
+    roots = connected_components(edges.select(F.col("centre").alias("a"), F.col("node").alias("b")))
     degree = edges.select(F.explode(F.array("centre", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     size = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     known = size.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
