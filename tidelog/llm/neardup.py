@@ -259,8 +259,9 @@ def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold:
     part = F.pmod("h", F.lit(SKETCH))
     sketch = F.array(*[F.sum(F.when(part == i, F.col("w")).otherwise(0.0)) for i in range(SKETCH)])
     total = materialize(rows.groupBy("n").agg(F.sum("w").alias("total"), sketch.cast("array<float>").alias("sketch")), "totals")
-    order = Window.partitionBy("n").orderBy("df", "h")
-    left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # From the most frequent down: a frame that ends at the row is summed once, one that starts there anew for each row.
+    order = Window.partitionBy("n").orderBy(F.desc("df"), F.desc("h"))
+    left = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
     info = named.select("n", "node", "root").join(total.drop("sketch"), "n")
     first = rows.join(common, "h").withColumn("left", left).select("n", "h", "left").join(info, "n")
     # left: the weight from this shingle on. A row is of use if it can be the first common one of some pair.
