@@ -142,6 +142,15 @@ def test_language(spark, docs, empty):
     assert language.train(empty) is None and {r["lang_pred"] for r in language.identify(docs, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_rare_language_is_fitted(spark):
+    """Two languages with many rows and one with few: the few are fitted, too."""
+    base = ["the house and the garden", "la maison et le jardin", "the hoose an the gairden"]
+    rows = [(f"{base[k]} {i}", k) for k, n in enumerate((20000, 20000, 20)) for i in range(n)]
+    model = language.train(spark.createDataFrame([(t, "abc"[k]) for t, k in rows], "text string, lang string"))
+    probe = spark.createDataFrame([(i, f"the gairden {i} an hoose") for i in range(50)], "doc_id long, text string")
+    assert {r["lang_pred"] for r in language.identify(probe, model).collect()} == {"c"}
+
+
 def test_toxicity(spark, empty):
     rows = [(i, prose(i, 30) + (" scum idiot" if i % 4 == 0 else "")) for i in range(200)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)] + [(None, 1), (7, None)], "doc_id long, toxic int")

@@ -6,7 +6,8 @@ of the bit's margin against its codeword, weighted by how well that bit did on r
 small gap to the second flags ambiguity.
 
 Learning uses a sample of labelled rows bounded by ``PER_LANGUAGE`` and ``MAX_ROWS``; their n-gram counts, made on
-executors from whole texts, are what the driver gets, as sparse rows. Scoring covers every row.
+executors from whole texts, are what the driver gets, as sparse rows. Every ``ASIDE``-th row of each language is kept
+aside. Scoring covers every row.
 
 Edge cases: ``und`` with score 0 if the text is null or has no letter, or if no labelled row exists; rows
 with null lang are not learned from; with a single language that one is always chosen. One row out per row in.
@@ -16,14 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import bounded_sample, id_crc, table
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
-PER_LANGUAGE, MAX_ROWS = 400, 4096
+PER_LANGUAGE, MAX_ROWS, ASIDE = 400, 4096, 5
 #: Texts whose probability gap to the second language is smaller are flagged.
 AMBIGUOUS = 0.1
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -99,17 +100,17 @@ class Rows:
             yield slice(at, end), out
 
 
-def fit(x: Rows, y: np.ndarray, languages: list[str], steps: int = 120, rate: float = 20.0, decay: float = 1e-5) -> Model:
-    """Full-batch logistic regression per bit with momentum; the last fifth of the rows weighs the bits and is not fitted."""
+def fit(x: Rows, y: np.ndarray, languages: list[str], cut: int, steps: int = 120, rate: float = 20.0, decay: float = 1e-5) -> Model:
+    """Full-batch logistic regression per bit with momentum; the rows from ``cut`` on weigh the bits and are not fitted."""
     codes = codewords(len(languages))
-    t, cut = codes[y], len(y) - len(y) // 5
+    t = codes[y]
     share = np.bincount(y[:cut], minlength=len(languages)).astype(float)
     each = (1 / np.maximum(share, 1))[y[:cut]][:, None] / len(languages)
     w, b = np.zeros((DIM, codes.shape[1]), dtype=np.float32), np.zeros(codes.shape[1])
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
         gw, gb = decay * w, np.zeros_like(b)
-        for s, rows in x.blocks(0, cut):  # rows come in order of their hash
+        for s, rows in x.blocks(0, cut):
             g = -t[s] / (1 + np.exp(np.clip(t[s] * (rows @ w + b), -30, 30))) * each[s]
             gw += rows.T @ g.astype(np.float32)
             gb += g.sum(0)
@@ -126,7 +127,8 @@ def fit(x: Rows, y: np.ndarray, languages: list[str], steps: int = 120, rate: fl
 def train(docs: DataFrame) -> Model | None:
     """docs: text, lang and anything else; which rows to learn from is the caller's choice."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("text", "lang")
-    picked = bounded_sample(rows, "lang", PER_LANGUAGE).withColumn("h", F.xxhash64("text")).orderBy("h", "lang").limit(MAX_ROWS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
+    picked = bounded_sample(rows, "lang", PER_LANGUAGE).withColumn("r", place).orderBy(F.xxhash64("text"), "lang").limit(MAX_ROWS)
 
     def run(batches):
         for b in batches:
@@ -136,12 +138,13 @@ def train(docs: DataFrame) -> Model | None:
                 i = np.flatnonzero(c)
                 idx.append(i.astype(np.int32))
                 val.append(np.sqrt(c[i]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["lang", "h", "i", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["lang", "r", "i", "v"])
 
-    got = picked.select("text", "lang", "h").mapInArrow(run, "lang string, h bigint, i array<int>, v array<float>").toArrow()
+    got = picked.select("text", "lang", "r").mapInArrow(run, "lang string, r int, i array<int>, v array<float>").toArrow()
     if not got.num_rows:
         return None
-    got = got.sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+    aside = np.asarray(got["r"]) % ASIDE == 0
+    got = got.append_column("aside", pa.array(aside)).sort_by([("aside", "ascending"), ("r", "ascending"), ("lang", "ascending")]).combine_chunks()
     named = got["lang"].to_pylist()
     languages = sorted(set(named))
     cells, values = (got[c].combine_chunks() for c in ("i", "v"))
@@ -149,7 +152,7 @@ def train(docs: DataFrame) -> Model | None:
     x = Rows(start, cells.flatten().to_numpy(), values.flatten().to_numpy())
     y = np.searchsorted(languages, named)
     del got, cells, values
-    return fit(x, y, languages)
+    return fit(x, y, languages, len(y) - int(aside.sum()))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
