@@ -209,6 +209,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, items).count() == 0 and decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    """A clean row stays though a contaminated one has its id, null or not."""
+    bad, rows = prose(3, 20), [(None, 0), (None, 1), (5, 0), (5, 1), (5, 0), (6, 1)]
+    docs = spark.createDataFrame([(i, bad if hit else f"clean {k}", k) for k, (i, hit) in enumerate(rows)], "doc_id long, text string, rid int")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, bad)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert sorted((r["rid"], r["doc_id"], r["text"]) for r in got.collect()) == [(k, i, f"clean {k}") for k, (i, hit) in enumerate(rows) if not hit]
+
+
 def test_language_model_sums_to_one_and_matches_counts(spark, docs):
     base = docs.select("doc_id", "text")
     counts = lm.word_counts(base).persist()

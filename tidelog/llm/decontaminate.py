@@ -19,14 +19,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, salted_join, table, words_of
+from tidelog.llm.common import materialize, table, words_of
 
 K, W = 5, 9
 SPAN = K + W - 1
 BITS = 1 << 25
+#: A document is contaminated from one hit word in so many on.
+SHARE = 20
 _MUL = np.random.default_rng(5).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -122,14 +124,11 @@ def candidates(docs: DataFrame, bits: np.ndarray, lengths: list[int], keep: list
     return src.mapInArrow(run, f"{kinds}n_words bigint, found array<struct<s:int,n:int,digest:binary>>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans.
-
-    contaminated: n_hit > 0 and share * n_hit >= n_words. spans: maximal runs of hit words as (start, end).
-    """
+def _hits(docs: DataFrame, items: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``keep`` columns, n_words and found of each document beside a row number rid; and, of each rid with a hit, its spans and item_ids."""
     windows = materialize(benchmark_windows(items), "windows")
     bits, lengths = _bitmap(windows)
-    base = materialize(candidates(docs, bits, lengths, ["doc_id"]).withColumn("rid", F.monotonically_increasing_id()), "found")
+    base = materialize(candidates(docs, bits, lengths, keep).withColumn("rid", F.monotonically_increasing_id()), "found")
     cand = base.where(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.*")
     by_digest = materialize(windows.groupBy("n", "digest").agg(F.collect_set("item_id").alias("items")), "digests")
     hits = materialize(cand.join(by_digest, ["n", "digest"]).select("rid", "s", "n", "items"), "hits")
@@ -140,22 +139,40 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     )
     spans = hits.groupBy("rid").agg(merged.alias("spans"))
     named = hits.select("rid", F.explode("items").alias("item")).distinct().groupBy("rid").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
-    per = spans.join(named, "rid")
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0).cast("long"))
+    return base, spans.join(named, "rid")
+
+
+def _n_hit() -> Column:
+    return F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0).cast("long"))
+
+
+def _contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans.
+
+    contaminated: n_hit > 0 and share * n_hit >= n_words. spans: maximal runs of hit words as (start, end).
+    """
+    base, per = _hits(docs, items, ["doc_id"])
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return (
         base.drop("found")
         .join(per, "rid", "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+        .select("doc_id", "n_words", _n_hit().alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")
+        .withColumn("contaminated", _contaminated(share))
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Documents without an id are judged like others."""
-    flagged = contamination(docs, items).where("contaminated").select("doc_id").distinct()
-    marked = salted_join(docs, materialize(flagged.withColumn("__bad", F.lit(True)), "flagged"), ["doc_id"], "left", salts=1)
-    return marked.where("__bad IS NULL").drop("__bad")
+def decontaminate(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. Each row is judged by itself, whatever its id or that of others."""
+    plain = docs.toDF(*[c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)])  # no name can clash with those added here
+    base, per = _hits(plain, items, plain.columns)
+    suspects = base.where(F.size("found") > 0)
+    flagged = suspects.select("rid", "n_words").join(per, "rid").withColumn("n_hit", _n_hit()).where(_contaminated(share)).select("rid")
+    kept = base.where(F.size("found") == 0).unionByName(suspects.join(materialize(flagged, "flagged"), "rid", "left_anti"))
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
