@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tidelog.llm import decontaminate, language, lm, neardup, neighbours, packing, pii, sstable, tokens, toxicity, urls
-from tidelog.llm.common import scratch_dir, tokenizer_path
+from tidelog.llm.common import bounded_sample, scratch_dir, tokenizer_path
 from tidelog.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, score double, node string"
@@ -151,6 +151,14 @@ def test_rare_language_is_fitted(spark):
     assert {r["lang_pred"] for r in language.identify(probe, model).collect()} == {"c"}
 
 
+def test_language_sample_is_balanced(spark):
+    """Many well-filled languages leave room for a rare one; copies do not thin out a language's other texts."""
+    rows = [(f"{k} text {i}", f"l{k:02d}") for k in range(12) for i in range(3000)] + [(f"rare text {i}", "rare") for i in range(3)]
+    assert "rare" in language.train(spark.createDataFrame(rows, "text string, lang string")).languages
+    copies = spark.createDataFrame([("same", "a")] * 2900 + [(f"other {i}", "a") for i in range(100)], "text string, lang string")
+    assert bounded_sample(copies, "lang", 400).count() == 101
+
+
 def test_toxicity(spark, empty):
     rows = [(i, prose(i, 30) + (" scum idiot" if i % 4 == 0 else "")) for i in range(200)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)] + [(None, 1), (7, None)], "doc_id long, toxic int")

@@ -37,12 +37,12 @@ def id_crc(col: str) -> Column:
 def bounded_sample(rows: DataFrame, key: str, per: int, by: str = "text") -> DataFrame:
     """At most ``per`` rows of each value of ``key`` (few values): those of the smallest hash of ``by``, whole rows.
 
-    A count gives each value's hash threshold, so that little more than the sample is ever shuffled. Rows equal in
-    ``by`` and key count once.
+    The number of distinct ``by`` (to 2 %) gives each value's hash threshold, so that little more than the sample is ever
+    shuffled. Rows equal in ``by`` and key count once.
     """
     small_batches(rows.sparkSession)
-    counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect() if r[0] is not None}
     h = F.xxhash64(by)
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy(key).agg(F.approx_count_distinct(h, 0.02)).collect() if r[0] is not None}
     within = F.lit(False)
     for value, n in counts.items():
         share = min(1.0, 1.5 * per / n)

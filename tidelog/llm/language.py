@@ -5,7 +5,7 @@ letters, predicts that bit. Decoding is loss-weighted: a language's loss is the
 of the bit's margin against its codeword, weighted by how well that bit did on rows kept aside. The nearest codeword wins; a
 small gap to the second flags ambiguity.
 
-Learning uses a sample of labelled rows bounded by ``PER_LANGUAGE`` and ``MAX_ROWS``; their n-gram counts, made on
+Learning uses a sample of labelled rows bounded by ``PER_LANGUAGE`` and, over all languages in turn, ``MAX_ROWS``; their n-gram counts, made on
 executors from whole texts, are what the driver gets, as sparse rows. Every ``ASIDE``-th row of each language is kept
 aside. Scoring covers every row.
 
@@ -128,7 +128,7 @@ def train(docs: DataFrame) -> Model | None:
     """docs: text, lang and anything else; which rows to learn from is the caller's choice."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("text", "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
-    picked = bounded_sample(rows, "lang", PER_LANGUAGE).withColumn("r", place).orderBy(F.xxhash64("text"), "lang").limit(MAX_ROWS)
+    picked = bounded_sample(rows, "lang", PER_LANGUAGE).withColumn("r", place).orderBy("r", "lang").limit(MAX_ROWS)
 
     def run(batches):
         for b in batches:
