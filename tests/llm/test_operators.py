@@ -240,6 +240,14 @@ def test_language_model_sums_to_one_and_matches_counts(spark, docs):
     assert abs(total - 1) < 1e-3 and z.shape == (3, lm.OUT)
 
 
+def test_language_model_trains_on_every_text(spark):
+    """A single training text, whichever it is, moves the model away from its start."""
+    for i in range(4):
+        one = spark.createDataFrame([(i, prose(20 + i, 50))], "doc_id long, text string")
+        v = lm.Vocabulary(lm.word_counts(one).persist())
+        assert not np.array_equal(lm.train(one, v).flat, lm.Net.start(v.q).flat)
+
+
 def test_pipeline_on_edge_cases(spark, docs, empty, tmp_path):
     spark.createDataFrame([(1, prose(3, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for start in (docs, empty):

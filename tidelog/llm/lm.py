@@ -9,8 +9,8 @@ The model predicts the outcome from the ``ORDER`` tokens before it and the mean
 and within a class a word has the probability (c + 1) / (sum of c + 1 over the class's words, + 1 for an unknown
 one). So P is normalised over all training words and one unknown word per class. Scores are batched matrix products over all outcomes.
 
-Training is iterative parameter mixing: each task runs NCE with AdaGrad over its share of the training texts
-(a fixed fraction ``SHARE`` of them, so it grows with the input), and the results are averaged by tokens, ``ROUNDS`` times.
+Training is iterative parameter mixing: each task runs NCE with AdaGrad over its training texts, and the results are
+averaged by tokens, ``ROUNDS`` times. Every training text is learned from in each round.
 
 Words that make up 1 / FREQUENT of all tokens or more (at most FREQUENT of them) are known to every task; the counts of
 others are joined by their 64-bit hash, which tells words apart but for one pair in 10^19.
@@ -33,7 +33,7 @@ from tidelog.llm.common import LOWER_BYTES, id_crc, materialize, table
 WORDS, SUFFIXES, DIM, ORDER = 384, 126, 16, 4
 OUT = 1 + WORDS + SUFFIXES + 1
 END, REST = 0, OUT - 1
-SHARE, ROUNDS, RATE, NOISE, SHARED_NOISE = 12, 2, 0.15, 10, 96
+ROUNDS, RATE, NOISE, SHARED_NOISE = 2, 0.15, 10, 96
 FREQUENT = 1 << 17
 #: Longer words are known by a digest.
 LONG = 48
@@ -177,20 +177,30 @@ class Net:
         return total / np.log(10)
 
 
-def _by_row(rows: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+def _by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sum of each one's gradients."""
     order = np.argsort(rows, kind="stable")
     at = rows[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    out = np.zeros((n, g.shape[1]), dtype=np.float32)
-    out[at[first]] = np.add.reduceat(g[order], first, axis=0)
-    return out
+    return at[first], np.add.reduceat(g[order], first, axis=0)
 
 
 class Trainer:
+    #: The first rows of ``far`` and ``out`` when the tables are taken as one.
+    FAR, LAST = ORDER * (OUT + 1), ORDER * (OUT + 1) + OUT
+
     def __init__(self, net: Net, q: np.ndarray, seed: int):
         self.net, self.rng = net, np.random.default_rng(seed)
         self.cum, self.log_kq = np.cumsum(q), np.log(NOISE * q).astype(np.float32)
         self.squares, self.tokens = Net(np.full(Net.SIZE, 1e-2, dtype=np.float32)), 0
+        self.rows, self.row_squares = (x.flat[: Net.SIZE - OUT].reshape(-1, DIM) for x in (net, self.squares))
+
+    @staticmethod
+    def _step(x: np.ndarray, squares: np.ndarray, at, d: np.ndarray) -> None:
+        """AdaGrad on the rows ``at``; the others have no gradient."""
+        sq = squares[at] + d * d
+        squares[at] = sq
+        x[at] += RATE * d / np.sqrt(sq)
 
     def learn(self, o: np.ndarray) -> None:
         """One NCE step over a text (or a stretch of a long one)."""
@@ -202,24 +212,21 @@ class Trainer:
         g = 1 - 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         gx = -(NOISE / SHARED_NOISE) / (1 + np.exp(-np.clip(sx, -30, 30)))
         dh = g[:, None] * net.out[o] + gx @ net.out[noise]
-        d = Net(np.zeros(Net.SIZE, dtype=np.float32))
-        d.out[:] = _by_row(np.r_[o, noise], np.vstack([g[:, None] * h, gx.T @ h]).astype(np.float32), OUT)
-        d.bias[:] = np.bincount(np.r_[o, noise], weights=np.r_[g, gx.sum(0)], minlength=OUT)
-        for i in range(ORDER):
-            d.near[i] = _by_row(before[i], dh.astype(np.float32), OUT + 1)
         later = np.cumsum((dh * share[:, None])[::-1], axis=0)[::-1]
-        d.far[:] = _by_row(o[:-1], later[1:].astype(np.float32), OUT) if n > 1 else 0
-        d.flat /= np.float32(np.sqrt(n))
-        self.squares.flat += d.flat * d.flat
-        net.flat += RATE * d.flat / np.sqrt(self.squares.flat)
+        rows = np.concatenate([*(before[i] + i * (OUT + 1) for i in range(ORDER)), o[:-1] + self.FAR, o + self.LAST, noise + self.LAST])
+        parts = [*[dh] * ORDER, later[1:], g[:, None] * h, gx.T @ h]
+        at, d = _by_row(rows.astype(np.int16), np.vstack(parts).astype(np.float32))
+        self._step(self.rows, self.row_squares, at, d / np.float32(np.sqrt(n)))
+        db = np.bincount(np.r_[o, noise], weights=np.r_[g, gx.sum(0)], minlength=OUT).astype(np.float32)
+        self._step(net.bias, self.squares.bias, slice(None), db / np.float32(np.sqrt(n)))
         self.tokens += n
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> Net:
-    """docs: training rows; every SHARE-th by hash of id and text is trained on."""
+    """docs: training rows; each is trained on."""
     spark = docs.sparkSession
     net, words = Net.start(vocabulary.q), spark.sparkContext.broadcast(vocabulary)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0).select("text")
+    texts = docs.select("text")
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(net.flat)
 
@@ -234,7 +241,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Net:
             if t.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(Net.SIZE), pa.int32()), pa.array(t.net.flat.astype(np.float64) * t.tokens), pa.array(np.full(Net.SIZE, float(t.tokens)))], ["i", "x", "n"])
 
-        mixed = some.mapInArrow(lambda batches, f=run: f(batches), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        mixed = texts.mapInArrow(lambda batches, f=run: f(batches), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         flat = net.flat.copy()
         flat[mixed["i"].to_numpy(dtype=int)] = mixed["x"].to_numpy()
         net = Net(flat)
