@@ -169,6 +169,17 @@ def test_toxicity(spark, empty):
     assert toxicity.train(empty, labels) is None and toxicity.score(empty, None, ["doc_id"]).count() == 0
 
 
+def test_toxicity_weighs_every_telling_word_by_all_documents(spark):
+    """More than 256 telling words, and one that is frequent in texts without a label."""
+    rows = [(i, prose(i, 20) + "".join(f" bad{(i + 10 * j) % 300}" for j in range(30) if i < 200)) for i in range(400)]
+    rows += [(i, "bad0 bad0") for i in range(1000, 1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, toxic int"))
+    assert {f"bad{i}".encode() for i in range(300)} <= set(model.at)
+    df = sum("bad0" in t.split() for _, t in rows)
+    assert abs(model.idf[model.at[b"bad0"]] - (np.log((len(rows) + 1) / (df + 1)) + 1)) < 1e-9
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(3)
     x = rng.random((500, 20)) * (rng.random((500, 20)) < 0.15)

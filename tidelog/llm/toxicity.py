@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-A text is its TF-IDF vector over ``TERMS`` words, those that tell the labels apart best by chi-square on the
-labelled sample and are at least ``LIFT`` times as frequent under one label (others, such as the common words of a
-language, are noise that hides the neighbours of a long text). The ``NEIGHBOURS``
+A text is its TF-IDF vector over the words that tell the labels apart by chi-square on the labelled sample and are at
+least ``LIFT`` times as frequent under one label (others, such as the common words of a language, are noise that hides
+the neighbours of a long text). Their document frequencies are counted over all rows that may be learned from. The ``NEIGHBOURS``
 examples of greatest cosine are found exactly with an inverted index in blocks of ``BLOCK`` examples: each
 term keeps its largest weight in each block, so a block's upper bound is known before its postings are read,
 and blocks are read in order of that bound until it falls below the last neighbour's cosine. Their
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import bounded_sample, id_crc, materialize, table, words_of
 
-TERMS, PER_CLASS, NEIGHBOURS, BLOCK = 256, 3000, 25, 64
+PER_CLASS, NEIGHBOURS, BLOCK = 3000, 25, 64
 MIN_DF, MIN_CHI2, LIFT = 5, 15.0, 3.0
 #: Query vectors remembered per Python worker.
 MEMO = 50_000
@@ -123,6 +123,26 @@ def _distinct_words(rows: DataFrame) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(run, "toxic int, words array<binary>").select("toxic", F.explode("words").alias("word"))
 
 
+def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
+    """How many rows there are, and how many have each term."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def run(batches):
+        at = shared.value
+        df, n = np.zeros(len(at) + 1, dtype=np.int64), 0
+        for b in batches:
+            n += b.num_rows
+            for raw in b.column(0).cast(pa.binary()).to_pylist():
+                for w in at.keys() & words_of(raw):
+                    df[at[w]] += 1
+        df[-1] = n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], ["i", "df"])
+
+    got = docs.select("text").mapInArrow(run, "i int, df bigint").groupBy("i").agg(F.sum("df").alias("df")).toPandas().sort_values("i")
+    df = got["df"].to_numpy(dtype=float)
+    return int(df[-1]), df[:-1]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """docs: doc_id, text, the rows that may be learned from; labels: doc_id, toxic (0 or 1).
 
@@ -144,9 +164,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     chi2 = n * F.pow(F.col("a") * (n0 - b) - b * (n1 - F.col("a")), 2) / (F.col("df") * (n - F.col("df")) * n0 * n1) if n0 and n1 else F.lit(0.0)
     lift = (F.col("a") + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
     telling = (F.col("df") >= MIN_DF) & (F.col("df") < n) & ((lift >= LIFT) | (lift <= 1 / LIFT))
-    best = per.where(telling).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).toPandas()
+    best = per.where(telling).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").toPandas()
     terms = [bytes(w) for w in best["word"]]
-    idf = np.log((n + 1) / (best["df"].to_numpy(dtype=float) + 1)) + 1 if terms else np.zeros(0)
+    rows, df = document_frequencies(docs, terms)
+    idf = np.log((rows + 1) / (df + 1)) + 1
     weight = np.array([counts.get(0, 0) / n0 if n0 else 1.0, counts.get(1, 0) / n1 if n1 else 1.0])
     model = Model(terms, idf, None, weight)
 
