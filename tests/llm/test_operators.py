@@ -83,6 +83,17 @@ def test_urls(spark):
     assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("org/fr/", "allow") and got[6][2:] == ("example.com/de/", "block") and got[7][:3] == ("b.io", "", None)
 
 
+def test_urls_bad_section_among_many(spark):
+    """Twelve word sections, one wholly bad: it is blocked by itself; sections with few labels share the wildcard."""
+    pages = [(f"http://h.io/{'abcdefghijkl'[k]}/{i}", k, i) for k in range(12) for i in range(60)]
+    rows = [(j, url) for j, (url, _, _) in enumerate(pages)]
+    good = [("h.io", url[11:], 1, int(k != 3)) for url, k, i in pages if k < 10 or i < 2]
+    judged = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(good, "host string, path string, n_labelled long, n_good long"))
+    got = {(r["path"].split("/")[1], r["template"].split("/")[1], r["verdict"]) for r in judged.collect()}
+    assert ("d", "d", "block") in got and ("l", "{word}", "allow") in got
+    assert {s for s, _, v in got if v == "block"} == {"d"}
+
+
 def test_tokens_are_the_tokenizers(docs):
     from tokenizers import Tokenizer
 
