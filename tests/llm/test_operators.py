@@ -94,6 +94,15 @@ def test_urls_bad_section_among_many(spark):
     assert {s for s, _, v in got if v == "block"} == {"d"}
 
 
+@pytest.mark.parametrize("best", [9, 3])
+def test_urls_method_blocks_by_the_overall_share(spark, best):
+    """Eleven bad pages block their template, whether good ones are many (share 0.85) or few (0.28), and no unlabelled one is blocked."""
+    pages = [(f"http://g.io/x/{i}", int(i % 10 < best)) for i in range(200)] + [(f"http://b.io/y/{i}", 0) for i in range(11)] + [("http://u.io/z", None)]
+    good = [(u[7:11], u[11:], 1, y) for u, y in pages if y is not None]
+    judged = urls.judge_urls(spark.createDataFrame([(j, u) for j, (u, _) in enumerate(pages)], "page_id long, url string"), spark.createDataFrame(good, "host string, path string, n_labelled long, n_good long"))
+    assert {(r["host"], r["verdict"]) for r in judged.collect()} == {("g.io", "allow"), ("b.io", "block"), ("u.io", "allow")}
+
+
 def test_tokens_are_the_tokenizers(docs):
     from tokenizers import Tokenizer
 

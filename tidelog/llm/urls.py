@@ -7,13 +7,13 @@ distinct segments, or when a chi-square test finds no difference between their l
 (with at least ``MIN_LABELLED`` labels to tell by). Of more than ``MAX_CHILDREN``, those with ``MIN_LABELLED`` labels whose share differs
 from that of the rest stay branches of their own (chi-square of each against the rest, at 5 % over all that are tested). Below ``MAX_DEPTH`` the rest of a path is ``**``. A template's
 purity is its labelled share of good pages, smoothed towards the overall share by ``PRIOR`` pages; templates under
-``MIN_PURITY`` are blocked.
+``LEAST`` times the overall share are blocked.
 
 Fixed rules (host suffix and path prefix) come first; the longest one that fits wins.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and no rule; it is one template of its own.
-Repeated urls and page_ids each get a row. Unlabelled templates have the overall share; with no
-labels at all that is 1/2. An empty table gives an empty result; other columns pass through.
+Repeated urls and page_ids each get a row. Unlabelled templates have the overall share and are
+allowed; with no labels at all that is 1/2. An empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidelog.llm.common import materialize, salted_join, table
 #: (verdict, host suffix, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MAX_CHILDREN, MAX_DEPTH, MIN_LABELLED = 8, 8, 20
-PRIOR, MIN_PURITY = 10.0, 0.4
+PRIOR, LEAST = 10.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,7 +110,7 @@ def judge_urls(pages: DataFrame, good: DataFrame | None = None, rules=RULES) ->
     purity = materialize(per, "purity")
     known = materialize(salted_join(tree.select("host", "path", "template"), purity, ["host", "template"], "left"), "known")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_method = F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow")
+    by_method = F.when(F.col("purity") < LEAST * share, "block").otherwise("allow")
     return salted_join(out, known, ["host", "path"], "left").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_method))
 
 
