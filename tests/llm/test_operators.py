@@ -38,8 +38,19 @@ def test_neardup(docs, empty):
     got = {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (None, None), (7, 7), (8, 7), (9, 9), (10, 10)}
     assert neardup.near_duplicates(docs).count() == len(ROWS)
-    assert sorted(r["doc_id"] or 0 for r in neardup.keep_one(docs).collect()) == [0, 1, 4, 5, 6, 6, 7, 9, 10]
-    assert neardup.near_duplicates(empty).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in neardup.keep_one(docs).collect()) == [0, 1, 4, 5, 6, 7, 9, 10]
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).count() == 0
+
+
+def test_keep_one_keeps_rows_not_ids(spark):
+    """A repeated id takes no other text with it; rows without an id, and repeated rows, keep one of each text; columns may have any names."""
+    rows = [(1, "s"), (5, "s"), (5, "u"), (7, "r"), (7, "r"), (None, "s"), (None, "v"), (None, "v"), (8, None), (8, "")]
+    texts = {k: prose(60 + i, 40) for i, k in enumerate("suvr")}
+    docs = spark.createDataFrame([(i, texts.get(t, t), k, t) for k, (i, t) in enumerate(rows)], "doc_id long, text string, rid int, __salt string")
+    got = neardup.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r["__salt"] or "", r["doc_id"] or 0) for r in got.collect())
+    assert kept == [("", 8), ("", 8), ("r", 7), ("s", 1), ("u", 5), ("v", 0)]
 
 
 def test_icws_estimates_weighted_jaccard():
@@ -254,9 +265,22 @@ def test_decontamination_judges_rows_not_ids(spark):
     docs = spark.createDataFrame([(i, bad if hit else f"clean {k}", k) for k, (i, hit) in enumerate(rows)], "doc_id long, text string, rid int")
     got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, bad)], "item_id long, text string"))
     assert got.columns == docs.columns
+    clash = docs.withColumnsRenamed({"rid": "__bad"}).withColumns({"__salt": docs.doc_id, "found": docs.text, "__r_doc_id": docs.doc_id})
+    other = decontaminate.decontaminate(clash, spark.createDataFrame([(1, bad)], "item_id long, text string"))
+    assert other.columns == clash.columns and sorted(r["__bad"] for r in other.collect()) == [0, 2, 4]
     assert sorted((r["rid"], r["doc_id"], r["text"]) for r in got.collect()) == [(k, i, f"clean {k}") for k, (i, hit) in enumerate(rows) if not hit]
 
 
+def test_decontamination_of_long_texts_and_short_items(spark):
+    """Thirteen words in a long text are enough to drop it; a few words of a short item are not."""
+    items = spark.createDataFrame([(1, prose(3, 20)), (2, "w5 a")], "item_id long, text string")
+    span = prose(3, 20).split()
+    docs = spark.createDataFrame([(1, prose(70, 5000) + " " + " ".join(span[:13])), (2, prose(70, 5000) + " " + " ".join(span[:12]) + " w5 a"), (3, "w5 a")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"], [(x["s"], x["e"]) for x in r["spans"]]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (13, False, [(5000, 5013)]), 2: (2, False, [(5012, 5014)]), 3: (2, True, [(0, 2)])}
+
+
 def test_language_model_sums_to_one_and_matches_counts(spark, docs):
     base = docs.select("doc_id", "text")
     counts = lm.word_counts(base).persist()

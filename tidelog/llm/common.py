@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.scratch import materialize, scratch_dir  # noqa: F401
+from tidelog.scratch import discard, materialize, scratch_dir  # noqa: F401
 
 #: UTF-8 byte table: A-Z become a-z, every other ASCII byte outside [0-9a-z] becomes a space.
 WORD_BYTES = bytes(
@@ -41,6 +41,7 @@ def bounded_sample(rows: DataFrame, key: str, per: int, by: str = "text") -> Dat
     shuffled. Rows equal in ``by`` and key count once.
     """
     small_batches(rows.sparkSession)
+    h_, r_ = fresh(rows.columns, "h"), fresh(rows.columns, "r")
     h = F.xxhash64(by)
     counts = {r[0]: max(1, r[1]) for r in rows.groupBy(key).agg(F.approx_count_distinct(h, 0.02)).collect() if r[0] is not None}
     within = F.lit(False)
@@ -48,9 +49,27 @@ def bounded_sample(rows: DataFrame, key: str, per: int, by: str = "text") -> Dat
         share = min(1.0, 1.5 * per / n)
         top = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
         within = F.when(F.col(key) == F.lit(value), h <= F.lit(min(top, 2**63 - 1))).otherwise(within)
-    few = rows.where(within).withColumn("__h", h).dropDuplicates(["__h", key])
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("__h"))
-    return few.withColumn("__r", rank).where(F.col("__r") <= per).drop("__h", "__r")
+    few = rows.where(within).withColumn(h_, h).dropDuplicates([h_, key])
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(h_))
+    return few.withColumn(r_, rank).where(F.col(r_) <= per).drop(h_, r_)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name`` after as many underscores as it takes to be no column's name, whatever its case."""
+    taken, name = {c.lower() for c in columns}, f"__{name}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with plain names (``text`` keeps its own) and a column rid, written out so that a row's number never changes.
+
+    Also the plain names of its columns, in order, and of doc_id: no name of ``docs`` can clash with one that an operator adds.
+    """
+    names = [c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id())
+    return materialize(plain, "rows"), names, names[docs.columns.index("doc_id")]
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
@@ -59,13 +78,15 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salts
     Rows of ``big`` are dealt over ``salts`` values and ``small`` is repeated once per value, so that a hot
     key meets its partner in ``salts`` tasks. ``small`` has few rows for each key. Keys match null-safely.
     """
-    b = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
-    s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    s = s.withColumnsRenamed({c: f"__r_{c}" for c in on} | {"__salt": "__r_salt"})
-    cond = F.col("__salt") == F.col("__r_salt")
+    names = [*big.columns, *small.columns]
+    salt, other = fresh(names, "salt"), {c: fresh(names, f"right_{i}") for i, c in enumerate(on)}
+    right = fresh(names, "right_salt")
+    b = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int"))
+    s = small.withColumnsRenamed(other).withColumn(right, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cond = F.col(salt) == F.col(right)
     for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return b.join(s, cond, how).drop("__salt", "__r_salt", *[f"__r_{c}" for c in on])
+        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(other[c]))
+    return b.join(s, cond, how).drop(salt, right, *other.values())
 
 
 def words_of(raw: bytes | None) -> list[bytes]:

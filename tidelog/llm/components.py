@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, salted_join
+from tidelog.llm.common import discard, materialize, salted_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,5 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, old = state, cur
         cur = materialize(_star(_star(cur, True), False), "edges")
+        discard(old)

@@ -19,10 +19,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, table, words_of
+from tidelog.llm.common import materialize, salted_join, table, words_of
 
 K, W = 5, 9
 SPAN = K + W - 1
@@ -125,27 +125,27 @@ def candidates(docs: DataFrame, bits: np.ndarray, lengths: list[int], keep: list
 
 
 def _hits(docs: DataFrame, items: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``keep`` columns, n_words and found of each document beside a row number rid; and, of each rid with a hit, its spans and item_ids."""
+    """``keep`` columns, n_words and found of each document beside a row number rid; and, of each rid with a hit, n_hit, its longest window, spans and item_ids."""
     windows = materialize(benchmark_windows(items), "windows")
     bits, lengths = _bitmap(windows)
     base = materialize(candidates(docs, bits, lengths, keep).withColumn("rid", F.monotonically_increasing_id()), "found")
     cand = base.where(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.*")
-    by_digest = materialize(windows.groupBy("n", "digest").agg(F.collect_set("item_id").alias("items")), "digests")
-    hits = materialize(cand.join(by_digest, ["n", "digest"]).select("rid", "s", "n", "items"), "hits")
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))),
-        F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    spans = hits.groupBy("rid").agg(merged.alias("spans"))
-    named = hits.select("rid", F.explode("items").alias("item")).distinct().groupBy("rid").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
+    known = materialize(windows.select("n", "digest").distinct(), "digests")
+    hits = materialize(salted_join(cand, known, ["n", "digest"], "inner", 8), "hits")
+    # Runs of hit words: a window opens one if it starts after every earlier one's end.
+    spans = hits.select("rid", "s", "n", (F.col("s") + F.col("n")).alias("e")).distinct()
+    by_start = Window.partitionBy("rid").orderBy("s", "e")
+    reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)
+    runs = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("rid", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("longest"))
+    spans = runs.groupBy("rid").agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("n_hit"), F.max("longest").alias("longest"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    items_of = windows.select("n", "digest", "item_id").distinct()
+    named = salted_join(hits.select("rid", "n", "digest").distinct(), items_of, ["n", "digest"], "inner", 8).select("rid", "item_id").distinct()
+    named = named.groupBy("rid").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
     return base, spans.join(named, "rid")
 
 
-def _n_hit() -> Column:
-    return F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0).cast("long"))
-
-
 def _contaminated(share: int) -> Column:
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
@@ -160,17 +160,23 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = SHARE) -> Data
     return (
         base.drop("found")
         .join(per, "rid", "left")
-        .select("doc_id", "n_words", _n_hit().alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")
+        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+        .select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")
         .withColumn("contaminated", _contaminated(share))
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Each row is judged by itself, whatever its id or that of others."""
+    """The documents without benchmark text, with all their columns. Each row is judged by itself, whatever its id or that of others.
+
+    A row goes if it holds a window of SPAN words, however long it is, or if it is contaminated by ``share``: items
+    shorter than SPAN words can occur by chance, so these count by the share of hit words only.
+    """
     plain = docs.toDF(*[c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)])  # no name can clash with those added here
     base, per = _hits(plain, items, plain.columns)
     suspects = base.where(F.size("found") > 0)
-    flagged = suspects.select("rid", "n_words").join(per, "rid").withColumn("n_hit", _n_hit()).where(_contaminated(share)).select("rid")
+    judged = suspects.select("rid", "n_words").join(per, "rid")
+    flagged = judged.where((F.col("longest") >= SPAN) | _contaminated(share)).select("rid")
     kept = base.where(F.size("found") == 0).unionByName(suspects.join(materialize(flagged, "flagged"), "rid", "left_anti"))
     return kept.select(*plain.columns).toDF(*docs.columns)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, salted_join, table, words_of
+from tidelog.llm.common import materialize, numbered, salted_join, table, words_of
 from tidelog.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -263,7 +263,7 @@ def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold:
     order = Window.partitionBy("n").orderBy(F.desc("df"), F.desc("h"))
     left = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
     info = named.select("n", "node", "root").join(total.drop("sketch"), "n")
-    first = rows.join(common, "h").withColumn("left", left).select("n", "h", "left").join(info, "n")
+    first = salted_join(rows, common, ["h"], "inner", 8).withColumn("left", left).select("n", "h", "left").join(info, "n")
     # left: the weight from this shingle on. A row is of use if it can be the first common one of some pair.
     first = materialize(first.where(F.col("left") >= threshold * F.col("total") * (1 - SLACK)).select("h", "node", "root", "total", "left"), "prefixes")
     sizes = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
@@ -316,10 +316,17 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class: the least doc_id, whole rows. Rows without a doc_id stay; rows that repeat an id stay or go together."""
-    classes = near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti")
+    """The documents with one row of each class, whole rows: that of the least doc_id, null ids last.
+
+    Rows are told apart by a number of their own, so rows without a doc_id take part like others, a repeated id
+    takes no other text with it, and of rows that repeat id and text one stays.
+    """
+    rows, names, doc_id = numbered(docs)
+    classes = near_duplicates(rows.select(F.col("rid").alias("doc_id"), "text")).where("copies > 1").select(F.col("doc_id").alias("rid"), "class_id")
+    first = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), "rid")
+    ranked = materialize(rows.select("rid", doc_id).join(classes, "rid").select("rid", "class_id", first.alias("first")), "ranked")
+    gone = ranked.select("rid").join(ranked.groupBy("class_id").agg(F.min("first")["rid"].alias("rid")), "rid", "left_anti")
+    return rows.join(materialize(gone, "gone"), "rid", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def op1_neardup(spark, sf_dir: str) -> DataFrame:
