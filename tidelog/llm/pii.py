@@ -9,6 +9,9 @@ Matches are found with ``regexp_extract_all``; ``split`` on the same pattern giv
 lengths add up to the positions. Quantified groups are possessive, which changes no match (the character sets
 that follow are disjoint) and keeps the regex engine free of recursion and of quadratic scans on long texts.
 
+Positions are added up chunk by chunk and words nearby are looked for in the pieces around a match, so that a text with
+very many spans costs in proportion to them.
+
 Edge cases: null text counts as empty (no spans; the digest is that of the empty text). Positions are code
 points, end exclusive. Repeated rows, null ids and other columns pass through one row each.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import fresh, table
 
 #: Fixed patterns. The look-behind keeps a long run from being tried at each of its characters; \G admits the
 #: place where the last match ended.
@@ -47,6 +50,10 @@ CONTEXT = {
     "tel": "phone|tel|call|mobile|fax",
 }
 REACH = 40
+#: Arrays grow element by element within a chunk only, so that the work on a text grows with its spans and not their square.
+CHUNK = 256
+#: A match of any kind has four characters or more, so that this many cover REACH.
+AROUND = REACH // 4
 
 
 def _digits(m: Column) -> Column:
@@ -85,43 +92,78 @@ CHECKS = {
 }
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _chunks(n: Column, size: int = CHUNK) -> Column:
+    """0 and up: the numbers of the chunks that n > 0 elements make."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
+
+
 def _found(text: Column, kind: str) -> Column:
     """array<struct<s, k, e, kind, score>> of one kind, by position."""
-    pattern = F.lit(PATTERNS[kind])
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, PATTERNS[kind], -1)
-    state = "struct<at:int,out:array<struct<s:int,k:int,e:int,m:string>>>"
-    walked = F.aggregate(
-        F.arrays_zip(hits.alias("m"), F.slice(pieces, F.lit(1), F.size(hits)).alias("p")),
-        F.expr(f"cast(named_struct('at', 0, 'out', array()) as {state})"),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.when(CHECKS[kind](x["m"]), F.array(F.struct((a["at"] + F.length(x["p"])).alias("s"), F.lit(KINDS.index(kind)).alias("k"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))).otherwise(F.expr("cast(array() as array<struct<s:int,k:int,e:int,m:string>>)"))).alias("out"),
-        ),
-    )["out"]
-    low, high = SCORES[kind]
-
-    def scored(x):
-        before = F.lower(F.substring(text, F.greatest(x["s"] + 1 - REACH, F.lit(1)), F.least(x["s"], F.lit(REACH))))
-        after = F.lower(F.substring(text, x["e"] + 1, F.lit(REACH)))
-        near = F.concat_ws(" ", before, after).rlike(rf"\b(?:{CONTEXT[kind]})")
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.when(near, F.lit(high)).otherwise(F.lit(low)).alias("score"))
-
-    out = F.transform(walked, scored)
-    if low == 0:
-        out = F.filter(out, lambda x: x["score"] > 0)
+    pattern, (low, high) = F.lit(PATTERNS[kind]), SCORES[kind]
+    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,kind:string,score:double>>)")
+
+    def span(v: Column, i: Column, s: Column, m: Column) -> Column:
+        """What stands within REACH characters comes from the ends of at most AROUND pieces and matches on either side."""
+        before = F.right(F.concat(F.array_join(F.slice(v["lead"], F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND))), ""), F.right(F.get(v["p"], i), F.lit(REACH))), F.lit(REACH))
+        after = F.left(F.array_join(F.slice(v["follow"], i + 2, F.lit(AROUND)), ""), F.lit(REACH))
+        near = F.concat_ws(" ", F.lower(before), F.lower(after)).rlike(rf"\b(?:{CONTEXT[kind]})")
+        one = lambda score: F.array(F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), (s + F.length(m)).alias("e"), F.lit(kind).alias("kind"), F.lit(score).alias("score")))
+        return F.when(CHECKS[kind](m), F.when(near, one(high)).otherwise(one(low) if low else none)).otherwise(none)
+
+    def chunk(v: Column, c: Column) -> Column:
+        """The spans of one chunk of matches, and its length; positions count from the chunk's start."""
+        return F.aggregate(
+            F.sequence(c * CHUNK, F.least(F.size(v["m"]), (c + 1) * CHUNK) - 1),
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda a, i: F.struct(
+                (a["at"] + F.length(F.get(v["p"], i)) + F.length(F.get(v["m"], i))).alias("at"),
+                F.concat(a["out"], span(v, i, a["at"] + F.length(F.get(v["p"], i)), F.get(v["m"], i))).alias("out"),
+            ),
+        )
+
+    def whole(v: Column) -> Column:
+        shifted = lambda a, w: F.transform(w["out"], lambda x: F.struct((x["s"] + a["at"]).alias("s"), x["k"].alias("k"), (x["e"] + a["at"]).alias("e"), x["kind"].alias("kind"), x["score"].alias("score")))
+        return F.flatten(
+            F.aggregate(
+                F.transform(_chunks(F.size(v["m"])), lambda c: chunk(v, c)),
+                F.struct(F.lit(0).alias("at"), F.array(none).alias("out")),
+                lambda a, w: F.struct((a["at"] + w["at"]).alias("at"), F.concat(a["out"], F.array(shifted(a, w))).alias("out")),
+            )["out"]
+        )
+
+    def ends(v: Column) -> Column:
+        lead = F.transform(v["m"], lambda m, i: F.concat(F.right(F.get(v["p"], i), F.lit(REACH)), F.right(m, F.lit(REACH))))
+        follow = F.transform(v["p"], lambda p, i: F.concat(F.left(p, F.lit(REACH)), F.coalesce(F.left(F.get(v["m"], i), F.lit(REACH)), F.lit(""))))
+        return F.struct(v["m"].alias("m"), v["p"].alias("p"), lead.alias("lead"), follow.alias("follow"))
+
+    cut = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("p"))
     worth = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
-    empty = F.expr("cast(array() as array<struct<s:int,k:int,e:int,kind:string,score:double>>)")
-    return F.when(worth & F.regexp_like(text, pattern), out).otherwise(empty)
+    return F.when(worth & F.regexp_like(text, pattern), _let(cut, lambda v: _let(ends(v), whole))).otherwise(none)
+
+
+def _clear(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``, which is in order: by chunk first, then one by one."""
+
+    def block(rows: Column) -> Column:
+        return F.struct(F.get(rows, F.lit(0))["s"].alias("lo"), F.array_max(F.transform(rows, lambda y: y["e"])).alias("hi"), rows.alias("rows"))
+
+    blocks = F.transform(_chunks(F.size(base)), lambda c: _let(F.slice(base, c * CHUNK + 1, F.lit(CHUNK)), block))
+    meets = lambda x, lo, hi: (lo < x["e"]) & (x["s"] < hi)
+    free = _let(blocks, lambda bs: F.filter(more, lambda x: ~F.exists(bs, lambda b: meets(x, b["lo"], b["hi"]) & F.exists(b["rows"], lambda y: meets(x, y["s"], y["e"])))))
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), free).otherwise(more)
 
 
 def find_pii(docs: DataFrame, column: str = "text", into: str = "pii") -> DataFrame:
     """Adds ``into``: array<struct<s, k, e, kind, score>>, by start and then kind. Added spans overlap no base span."""
     text = F.coalesce(F.col(column), F.lit(""))
-    out = docs.withColumn("__base", F.array_sort(F.concat(*[_found(text, k) for k in BASE])))
-    more = F.concat(*[_found(text, k) for k in KINDS[4:]])
-    clear = F.filter(more, lambda x: ~F.exists("__base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return out.withColumn(into, F.array_sort(F.concat(F.col("__base"), clear))).drop("__base")
+    base, more = (fresh([*docs.columns, into], n) for n in ("base", "more"))
+    out = docs.withColumn(base, F.array_sort(F.concat(*[_found(text, k) for k in BASE]))).withColumn(more, F.concat(*[_found(text, k) for k in KINDS[4:]]))
+    return out.withColumn(into, F.array_sort(F.concat(F.col(base), _clear(F.col(more), F.col(base))))).drop(base, more)
 
 
 def _joined(spans: Column) -> Column:
@@ -130,18 +172,28 @@ def _joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """Each span is replaced by its kind in angle brackets; of overlapping spans the first one covers. Texts without spans and null texts stay as they are."""
-    found = find_pii(docs, column, "__pii")
-    text = F.col(column)
-    walked = F.aggregate(
-        "__pii",
-        F.expr("cast(named_struct('at', 0, 'out', '') as struct<at:int,out:string>)"),
-        lambda a, x: F.when(
-            x["s"] >= a["at"],
-            F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
-    )
-    clean = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
-    return found.withColumn(column, F.when(F.size("__pii") > 0, clean).otherwise(text)).drop("__pii")
+    pii = fresh(docs.columns, "pii")
+    found, text = find_pii(docs, column, pii), F.col(column)
+
+    def walked(rows: Column, t: Column, start: Column) -> Column:
+        """``t``, the text of one chunk of spans, which starts at ``start``, with its spans replaced."""
+        return F.aggregate(
+            rows,
+            F.struct(start.alias("at"), F.lit("").alias("out")),
+            lambda a, x: F.when(
+                x["s"] >= a["at"],
+                F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] - start + 1, x["s"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")),
+            ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
+        )["out"]
+
+    def whole(rows: Column) -> Column:
+        """``ends``: where each chunk's text starts, and the last one's ends."""
+        ends = F.aggregate(rows, F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.array_max(F.transform(r, lambda y: y["e"]))))))
+        part = lambda r, lo, hi: _let(F.substring(text, lo + 1, hi - lo), lambda t: walked(r, t, lo))
+        return _let(ends, lambda at: F.concat(F.array_join(F.transform(rows, lambda r, c: part(r, F.get(at, c), F.get(at, c + 1))), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text))))
+
+    clean = _let(F.transform(_chunks(F.size(pii)), lambda c: F.slice(F.col(pii), c * CHUNK + 1, F.lit(CHUNK))), whole)
+    return found.withColumn(column, F.when(F.size(pii) > 0, clean).otherwise(text)).drop(pii)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
