@@ -62,16 +62,6 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """``docs`` with plain names (``text`` keeps its own) and a column rid, written out so that a row's number never changes.
-
-    Also the plain names of its columns, in order, and of doc_id: no name of ``docs`` can clash with one that an operator adds.
-    """
-    names = [c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]
-    plain = docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id())
-    return materialize(plain, "rows"), names, names[docs.columns.index("doc_id")]
-
-
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
     """Equi-join where one key may hold a large share of ``big``.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, numbered, salted_join, table, words_of
+from tidelog.llm.common import discard, materialize, salted_join, table, words_of
 from tidelog.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -175,7 +175,9 @@ def _crowded(keys: DataFrame) -> DataFrame:
     """keys (k, node) -> (k, node, deg) in buckets of two or more; deg: how often a node meets another one in any of them."""
     sizes = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     rows = materialize(salted_join(keys, sizes, ["k"], "inner", 8), "crowded")
-    return materialize(rows.join(rows.groupBy("node").agg(F.sum("n").alias("deg")), "node").select("k", "node", "deg"), "members")
+    out = materialize(rows.join(rows.groupBy("node").agg(F.sum("n").alias("deg")), "node").select("k", "node", "deg"), "members")
+    discard(rows)
+    return out
 
 
 def _star(rows: DataFrame) -> DataFrame:
@@ -266,9 +268,12 @@ def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold:
     first = salted_join(rows, common, ["h"], "inner", 8).withColumn("left", left).select("n", "h", "left").join(info, "n")
     # left: the weight from this shingle on. A row is of use if it can be the first common one of some pair.
     first = materialize(first.where(F.col("left") >= threshold * F.col("total") * (1 - SLACK)).select("h", "node", "root", "total", "left"), "prefixes")
+    discard(rows)
     sizes = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
     sketches = named.select("n", "node").join(total.select("n", "sketch"), "n").drop("n")
     mixed = materialize(salted_join(first, sizes.select("h", "main"), ["h"], "inner", 8).join(sketches, "node"), "mixed")
+    for done in (named, total, first):
+        discard(done)
     a = mixed.where("root <> main").select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "total", "left", "sketch")])
     b = mixed.select("h", "node", "root", "main", "total", "left", "sketch")
     least = threshold / (1 + threshold) * (F.col("a_total") + F.col("total")) * (1 - SLACK)
@@ -277,56 +282,80 @@ def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold:
     near = F.least("a_total", "total") >= threshold * F.greatest("a_total", "total") * (1 - SLACK)
     once = (F.col("root") == F.col("main")) | (F.col("a_node") < F.col("node"))
     met = a.join(b, "h").where((F.col("a_root") != F.col("root")) & near & fits & once)
-    return met.select(F.greatest("a_node", "node").alias("centre"), F.least("a_node", "node").alias("node")).distinct()
+    out = materialize(met.select(F.greatest("a_node", "node").alias("centre"), F.least("a_node", "node").alias("node")).distinct(), "possible")
+    discard(mixed)
+    return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, copies, n_links): class_id is the least doc_id of the class, copies the size of its class.
-
-    n_links: verified links of this row's text to other texts.
-    """
-    idf = idf_table(docs)
-    node = F.md5(F.col("text").cast("binary"))
-    keyed = docs.select("doc_id", node.alias("node"), "text")
-    member = materialize(keyed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("text") != ""), F.col("node")).alias("node")), "members")
-    sigs = materialize(signatures(keyed.where("doc_id IS NOT NULL AND text <> ''"), idf).groupBy("node").agg(F.first("bands").alias("bands")), "bands")
+def node_classes(keyed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(node, class_id, copies, n_links) of the texts that have copies or links. ``keyed``: doc_id, node, text, without nulls and empty texts."""
+    idf = idf_table(keyed)
+    member = materialize(keyed.select("doc_id", "node"), "members")
+    sigs = materialize(signatures(keyed, idf).groupBy("node").agg(F.first("bands").alias("bands")), "bands")
     keys = sigs.select(F.posexplode("bands").alias("i", "h"), "node").select(F.xxhash64("i", "h").alias("k"), "node")
     crowd = _crowded(keys)
-    least = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = _texts_of(keyed, materialize(crowd.select("node").distinct().join(least, "node"), "mates"))
+    discard(sigs)
+    size = materialize(member.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "sizes")
+    discard(member)
+    texts = _texts_of(keyed, materialize(crowd.select("node").distinct().join(size.select("node", F.col("least").alias("doc_id")), "node"), "mates"))
     met = _star(crowd)
-    links = materialize(_verify(materialize(met.select("centre", "node").distinct(), "pairs"), texts, idf), "links")
+    pairs = materialize(met.select("centre", "node").distinct(), "pairs")
+    links = materialize(_verify(pairs, texts, idf), "links")
+    discard(pairs)
     failed = met.join(links.where(F.col("similarity") < threshold).select("centre", "node"), ["centre", "node"], "left_semi").select("k").distinct()
-    edges = materialize(links.where(F.col("similarity") >= threshold), "edges")
-    roots = connected_components(edges.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    sure = materialize(links.where(F.col("similarity") >= threshold), "edges")
+    roots = connected_components(sure.select(F.col("centre").alias("a"), F.col("node").alias("b")))
     residue = salted_join(crowd, failed, ["k"], "inner", 8).select("node").distinct()
     pairs = _possible(texts, residue.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), idf, threshold)
     met_before = links.select(F.greatest("centre", "node").alias("centre"), F.least("centre", "node").alias("node"))
-    more = _verify(materialize(pairs.join(met_before, ["centre", "node"], "left_anti"), "pairs"), texts, idf)
-    edges = materialize(edges.union(more.where(F.col("similarity") >= threshold)), "edges")
+    left = materialize(pairs.join(met_before, ["centre", "node"], "left_anti"), "pairs")
+    discard(pairs)
+    edges = materialize(sure.union(_verify(left, texts, idf).where(F.col("similarity") >= threshold)), "edges")
+    for done in (left, texts, met, crowd, links, sure):
+        discard(done)
     roots = connected_components(edges.select(F.col("centre").alias("a"), F.col("node").alias("b")))
     degree = edges.select(F.explode(F.array("centre", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    size = member.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     known = size.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = materialize(known.where("n > 1 OR n_links IS NOT NULL"), "known")
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("copies"))
-    by_node = materialize(salted_join(known.select("node", "root", "n_links"), classes, ["root"], "inner", 8).drop("root"), "classes")
-    out = salted_join(member, by_node, ["node"], "left")
+    return materialize(salted_join(known.select("node", "root", "n_links"), classes, ["root"], "inner", 8).drop("root"), "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, copies, n_links): class_id is the least doc_id of the class, copies the size of its class.
+
+    n_links: verified links of this row's text to other texts.
+    """
+    keyed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), "text")
+    takes_part = F.col("doc_id").isNotNull() & (F.col("text") != "")
+    by_node = node_classes(keyed.where(takes_part), threshold)
+    out = salted_join(keyed.select("doc_id", F.when(takes_part, F.col("node")).alias("node")), by_node, ["node"], "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each class, whole rows: that of the least doc_id, null ids last.
 
-    Rows are told apart by a number of their own, so rows without a doc_id take part like others, a repeated id
-    takes no other text with it, and of rows that repeat id and text one stays.
+    A row is known by its doc_id and text together, so rows without a doc_id take part like others, a repeated id
+    takes no other text with it, and of rows that repeat id and text any one stays. Null and empty texts all stay.
     """
-    rows, names, doc_id = numbered(docs)
-    classes = near_duplicates(rows.select(F.col("rid").alias("doc_id"), "text")).where("copies > 1").select(F.col("doc_id").alias("rid"), "class_id")
-    first = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), "rid")
-    ranked = materialize(rows.select("rid", doc_id).join(classes, "rid").select("rid", "class_id", first.alias("first")), "ranked")
-    gone = ranked.select("rid").join(ranked.groupBy("class_id").agg(F.min("first")["rid"].alias("rid")), "rid", "left_anti")
-    return rows.join(materialize(gone, "gone"), "rid", "left_anti").select(*names).toDF(*docs.columns)
+    names = [c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]  # no name can clash with those added here
+    rows = docs.toDF(*names).withColumn("doc_id", F.col(names[docs.columns.index("doc_id")])).withColumn("node", F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))))
+    keyed = rows.where("node IS NOT NULL").select(F.coalesce("doc_id", F.xxhash64("node").cast(rows.schema["doc_id"].dataType)).alias("doc_id"), "node", "text")
+    classes = node_classes(keyed).select("node", "class_id")
+    # One row for each doc_id and text of a class, with how many rows there are.
+    marked = salted_join(rows.where("node IS NOT NULL").groupBy("doc_id", "node").agg(F.count("*").alias("n")), classes, ["node"], "inner")
+    marked = materialize(marked.withColumn("order", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), "node")), "marked")
+    first = marked.groupBy("class_id").agg(F.min("order").alias("first"))
+    judged = salted_join(marked, first, ["class_id"], "inner", 8).select("doc_id", "node", "n", (F.col("order") == F.col("first")).alias("stays"))
+    judged = materialize(judged.withColumn("stays", F.coalesce("stays", F.lit(True))).where("NOT stays OR n > 1"), "judged")
+    same = lambda x: rows["node"].eqNullSafe(x["node"]) & rows["doc_id"].eqNullSafe(x["doc_id"])
+    kept = rows.join(judged, same(judged), "left_anti").select(*names)
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        one = rows.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "node").agg(F.first(F.struct(*names)).alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op1_neardup(spark, sf_dir: str) -> DataFrame:
