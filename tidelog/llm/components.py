@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,31 +11,49 @@ from tidelog.llm.common import discard, materialize, salted_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Connect each node's neighbours to the least node around it: the greater ones (large) or the smaller ones."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = both.where(F.col("v") < F.col("u"))
+    """Connect each node's neighbours to the least node around it: the greater ones (large) or the smaller ones. May repeat edges."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
     joined = salted_join(both, least, ["u"], "inner", 8)
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+        out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+    return out.where(F.col("u") != F.col("v"))
+
+
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether each node is either below one root or a root; no step changes that any more."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("below").alias("n"), F.min("below").alias("root"))
+    return per.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("root") == 0))).isEmpty()
+
+
+def star_forest(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """edges (a, b) of any ordered type -> edges (u, v), u > v, that connect the same nodes; each u below its component's least node.
+
+    Each round is written to the shared folder, and the files of the one before go. After ``rounds`` rounds, if given, the
+    result may not be a forest yet, but still connects what the edges connect, and may be carried on.
+    """
+    cur = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while rounds != 0 and not _is_forest(cur):
+        old, cur = cur, materialize(_star(_star(cur, True), False).distinct(), "edges")
+        discard(old)
+        rounds = None if rounds is None else rounds - 1
+        # Shuffle files go when their plans are collected, which a driver with little to do would not do for long.
+        gc.collect()
+        edges.sparkSession.sparkContext._jvm.System.gc()
+    return cur
+
+
+def roots_of(forest: DataFrame) -> DataFrame:
+    """(node, root) for every node of a star forest; of one that is not finished, a node that is connected with it."""
+    return forest.select("u", "v").union(forest.select("v", "v")).toDF("node", "root").groupBy("node").agg(F.min("root").alias("root"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any ordered type -> (node, root) for every node that has an edge; root is the least node reached.
 
-    Each round is written to the shared folder; it ends when a round changes nothing. Self-loops and repeated
-    edges do no harm; no edges give an empty result.
+    Self-loops and repeated edges do no harm; no edges give an empty result.
     """
-    cur = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur, before = materialize(cur, "edges"), None
-    while True:
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before, old = state, cur
-        cur = materialize(_star(_star(cur, True), False), "edges")
-        discard(old)
+    return roots_of(star_forest(edges))

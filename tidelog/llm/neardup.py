@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import discard, materialize, salted_join, table, words_of
-from tidelog.llm.components import connected_components
+from tidelog.llm.components import roots_of, star_forest
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -304,16 +304,19 @@ def node_classes(keyed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     discard(pairs)
     failed = met.join(links.where(F.col("similarity") < threshold).select("centre", "node"), ["centre", "node"], "left_semi").select("k").distinct()
     sure = materialize(links.where(F.col("similarity") >= threshold), "edges")
-    roots = connected_components(sure.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    # One round joins most of each class, and what it leaves apart only costs pairs; the rounds at the end carry it on.
+    begun = star_forest(sure.select(F.col("centre").alias("a"), F.col("node").alias("b")), 1)
+    roots = roots_of(begun)
     residue = salted_join(crowd, failed, ["k"], "inner", 8).select("node").distinct()
     pairs = _possible(texts, residue.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), idf, threshold)
     met_before = links.select(F.greatest("centre", "node").alias("centre"), F.least("centre", "node").alias("node"))
     left = materialize(pairs.join(met_before, ["centre", "node"], "left_anti"), "pairs")
     discard(pairs)
-    edges = materialize(sure.union(_verify(left, texts, idf).where(F.col("similarity") >= threshold)), "edges")
-    for done in (left, texts, met, crowd, links, sure):
+    more = materialize(_verify(left, texts, idf).where(F.col("similarity") >= threshold), "more")
+    for done in (left, texts, met, crowd, links):
         discard(done)
-    roots = connected_components(edges.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    edges = sure.union(more)
+    roots = roots_of(star_forest(begun.select(F.col("u").alias("a"), F.col("v").alias("b")).union(more.select("centre", "node"))))
     degree = edges.select(F.explode(F.array("centre", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = size.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = materialize(known.where("n > 1 OR n_links IS NOT NULL"), "known")
