@@ -140,6 +140,36 @@ def frame_count(size: Column) -> Column:
     return F.ceil(size / (FRAME - HEADER)).cast("bigint")
 
 
+KIND = {"full": 1, "first": 2, "middle": 3, "last": 4}
+
+
+def frame_record(record: bytes, room: int = FRAME) -> bytes:
+    """A record as frames in blocks of ``room`` bytes: u32 masked checksum, u16 length, u8 kind, then the data. An empty record has none."""
+    parts = [record[i : i + room - HEADER] for i in range(0, len(record), room - HEADER)]
+    out = b""
+    for i, part in enumerate(parts):
+        kind = "full" if len(parts) == 1 else "first" if i == 0 else "last" if i == len(parts) - 1 else "middle"
+        c = crc32_cksum(bytes([KIND[kind]]) + part)
+        masked = ((c >> 15 | c << 17) + MASK_DELTA) & 0xFFFFFFFF
+        out += struct.pack("<IHB", masked, len(part), KIND[kind]) + part
+    return out
+
+
+def unframe_record(raw: bytes) -> bytes | None:
+    """The record in ``raw``; None if it is cut short or a checksum does not fit."""
+    out, p, kind = b"", 0, 0
+    while p + HEADER <= len(raw):
+        masked, n, kind = struct.unpack_from("<IHB", raw, p)
+        part = raw[p + HEADER : p + HEADER + n]
+        r = (masked - MASK_DELTA) & 0xFFFFFFFF
+        if len(part) < n or crc32_cksum(bytes([kind]) + part) != (r >> 17 | r << 15) & 0xFFFFFFFF:
+            return None
+        if (kind in (KIND["full"], KIND["first"])) != (p == 0):
+            return None
+        out, p = out + part, p + HEADER + n
+    return out if p == len(raw) and (kind in (KIND["full"], KIND["last"]) or not raw) else None
+
+
 def to_frames(records: DataFrame, key: str, body: str) -> DataFrame:
     """One row per frame: key, no, type (full, first, middle, last), data."""
     room = FRAME - HEADER

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,10 +32,10 @@ def status_of(error: BaseException) -> Status:
 
 @dataclass
 class Options:
-    """Settings of a store. ``sort_key`` maps the key column to what it is ordered by; its name is checked at open."""
+    """Settings of a store. Keys are ordered bytewise; another order is an encoding of the key, named by ``comparator``, which is
+    checked at open. ``bloom_bits`` 0: no filters. ``level0_trigger``: so many level-0 tables ask for a compaction."""
 
     comparator: str = "bytewise"
-    sort_key: object = staticmethod(lambda c: c)
     create_if_missing: bool = True
     error_if_exists: bool = False
     write_buffer_size: int = 4 << 20
@@ -43,7 +43,6 @@ class Options:
     compression: str = "none"
     bloom_bits: int = 10
     level0_trigger: int = 4
-    extra: dict = field(default_factory=dict)
 
     @classmethod
     def for_test(cls) -> "Options":

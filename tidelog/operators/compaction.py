@@ -38,7 +38,18 @@ def _small(files: DataFrame, most: int = 50_000) -> bool:
 
 
 def compact(log: DataFrame, horizon: int, deeper: DataFrame | None = None) -> DataFrame:
-    return mark(log, horizon, deeper).where("reason IS NULL").drop("reason")
+    """The rows that ``mark`` keeps, without a window: every row above the horizon, and of those up to it the newest of each key.
+
+    The newest is a partial aggregate, so a key with very many versions is no single task's work.
+    """
+    rest = [c for c in log.columns if c != "key"]
+    newest = log.where(F.col("seq") <= horizon).groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("e"))
+    newest = newest.select(*[F.col("key") if c == "key" else F.col(f"e.`{c}`").alias(c) for c in log.columns])
+    kept = newest.where(F.col("kind") != DELETION)
+    if deeper is not None:
+        spans, gone = deeper.select("smallest_key", "largest_key").distinct(), newest.where(F.col("kind") == DELETION)
+        kept = kept.unionByName(gone.join(F.broadcast(spans) if _small(spans) else spans, (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key")), "left_semi"))
+    return log.where(F.col("seq") > horizon).unionByName(kept)
 
 
 def gc_stats(log: DataFrame, horizon: int, deeper: DataFrame | None = None) -> DataFrame:
@@ -107,17 +118,26 @@ class Plan:
     below: list
     grandparents: list = field(default_factory=list)
 
-    @property
-    def trivial(self) -> bool:
-        """One file with nothing below it, and little beneath that, moves without being rewritten."""
-        return len(self.inputs) == 1 and not self.below
+    def trivial(self, max_file_size: int) -> bool:
+        """One file with nothing below it, and no more than ten files' worth beneath that, moves without being rewritten."""
+        return len(self.inputs) == 1 and not self.below and sum(f["size"] for f in self.grandparents) <= 10 * max_file_size
+
+    def bounds(self, max_file_size: int) -> list[bytes]:
+        """Keys at which output files end, so that none meets more than ten files' worth two levels down."""
+        out, seen = [], 0
+        for f in self.grandparents:
+            seen += f["size"]
+            if seen > 10 * max_file_size:
+                out.append(f["largest_key"])
+                seen = 0
+        return out
 
 
 class Picker:
     """Decisions over the file list (metadata, held by the driver like any manifest)."""
 
-    def __init__(self, files: list, max_file_size: int = 2 << 20):
-        self.files, self.max_file = files, max_file_size
+    def __init__(self, files: list, max_file_size: int = 2 << 20, level0_trigger: int = 4):
+        self.files, self.max_file, self.trigger = files, max_file_size, level0_trigger
 
     def level(self, n: int) -> list:
         return sorted((f for f in self.files if f["level"] == n), key=lambda f: (f["smallest_key"], f["file_id"]))
@@ -137,7 +157,7 @@ class Picker:
         return any(f["largest_key"] >= lo and f["smallest_key"] <= hi for f in self.level(n))
 
     def scores(self) -> dict[int, float]:
-        out = {0: len(self.level(0)) / 4}
+        out = {0: len(self.level(0)) / self.trigger}
         return out | {n: sum(f["size"] for f in self.level(n)) / (10**n * MIB) for n in range(1, LEVELS - 1)}
 
     def memtable_level(self, lo, hi, most: int = 2) -> int:

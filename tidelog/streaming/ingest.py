@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from tidelog.sources.store import KVStore
 
 
-def ingest(stream: DataFrame, store: KVStore, order: str, checkpoint: str, **trigger):
-    """stream: (key, kind, value, order column). Returns the running query."""
+def ingest(stream: DataFrame, store: KVStore, order: str, checkpoint: str, name: str = "ingest", **trigger):
+    """stream: (key, kind, value, order column). Returns the running query.
 
-    def one(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.bulk_write(batch, order)
+    The number of the last micro-batch is committed with its rows under ``name``, so one that is run again after a failure changes nothing.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        if number > store.streams.get(name, -1):
+            store.bulk_write(batch, order, (name, number))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
