@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.model import VALUE
 from tidelog.operators.view import view
 
 
@@ -18,26 +19,52 @@ def scan(log: DataFrame, as_of: int | None = None, lo=None, hi=None, reverse: bo
     return out.limit(limit) if limit is not None else out
 
 
+def _nearest(log: DataFrame, as_of: int | None, reverse: bool = False, take: int = 64, most: int = 4096) -> DataFrame:
+    """The first visible entry by key (last, if ``reverse``) as a table of one row or none.
+
+    Each try is a bounded top-k (no shuffle: every partition hands on ``take`` rows) in order of key and then newest
+    first, so a key's first row is its newest. Where all of them are deleted, the next try goes on behind the last key.
+    """
+    if as_of is not None:
+        log = log.where(F.col("seq") <= as_of)
+    order, rows, found = F.desc("key") if reverse else F.asc("key"), [], None
+    rest = log.select("key", "seq", "kind", "value")
+    while found is None:
+        rows, seen = rest.orderBy(order, F.desc("seq")).limit(take).collect(), None
+        for r in rows:
+            if r["key"] != seen and r["kind"] == VALUE:
+                found = r
+                break
+            seen = r["key"]
+        if len(rows) < take:
+            break
+        end = F.lit(rows[-1]["key"])
+        rest = rest.where(F.col("key") < end if reverse else F.col("key") > end)
+        take = min(most, 8 * take)
+    schema = log.select("key", "seq", "value").schema
+    return log.sparkSession.createDataFrame([] if found is None else [(found["key"], found["seq"], found["value"])], schema)
+
+
 def seek(log: DataFrame, key, as_of: int | None = None) -> DataFrame:
     """The first visible entry at or after ``key``."""
-    return scan(log, as_of, lo=key, limit=1)
+    return _nearest(log.where(F.col("key") >= F.lit(key)), as_of)
 
 
 def prev(log: DataFrame, key, as_of: int | None = None) -> DataFrame:
     """The last visible entry before ``key``."""
-    return view(log.where(F.col("key") < F.lit(key)), as_of).orderBy(F.desc("key")).limit(1)
+    return _nearest(log.where(F.col("key") < F.lit(key)), as_of, True)
 
 
 def after(log: DataFrame, key, as_of: int | None = None) -> DataFrame:
-    return view(log.where(F.col("key") > F.lit(key)), as_of).orderBy("key").limit(1)
+    return _nearest(log.where(F.col("key") > F.lit(key)), as_of)
 
 
 def first(log: DataFrame, as_of: int | None = None) -> DataFrame:
-    return scan(log, as_of, limit=1)
+    return _nearest(log, as_of)
 
 
 def last(log: DataFrame, as_of: int | None = None) -> DataFrame:
-    return scan(log, as_of, reverse=True, limit=1)
+    return _nearest(log, as_of, True)
 
 
 class Cursor:

@@ -38,14 +38,19 @@ def get(log: DataFrame, key, as_of: int | None = None) -> DataFrame:
 
 def get_tristate(log: DataFrame, keys: DataFrame, as_of: int | None = None) -> DataFrame:
     """For each key: FOUND with its value, DELETED, or ABSENT."""
-    hit = newest(log, as_of).select("key", "seq", "kind", "value")
+    hit = newest(_asked(log, keys), as_of).select("key", "seq", "kind", "value")
     state = F.when(F.col("kind").isNull(), "ABSENT").when(F.col("kind") == VALUE, "FOUND").otherwise("DELETED")
     return keys.join(hit, "key", "left").select("key", state.alias("state"), F.when(F.col("kind") == VALUE, F.col("value")).alias("value"))
 
 
 def multi_get(log: DataFrame, keys: DataFrame, as_of: int | None = None) -> DataFrame:
-    """keys: column key. A left join; the planner broadcasts the keys if they are small enough."""
-    return keys.join(view(log, as_of), "key", "left")
+    """keys: column key. The log is cut down to the keys asked for before anything else happens to it."""
+    return keys.join(view(_asked(log, keys), as_of), "key", "left")
+
+
+def _asked(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The entries of some keys; the planner broadcasts these, or filters the scan by them, if they are few."""
+    return log.join(keys.select("key").distinct(), "key", "left_semi")
 
 
 def history(log: DataFrame, key=None) -> DataFrame:
