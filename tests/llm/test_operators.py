@@ -289,10 +289,64 @@ def test_language_model_sums_to_one_and_matches_counts(spark, docs):
     got = lm.score(base, counts, v, net, ["doc_id"]).toPandas()
     split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for _, t in ROWS]
     assert sorted(got["n_tokens"]) == sorted(len(s) + 1 for s in split) and (got["train_tokens"] == sum(len(s) + 1 for s in split)).all()
-    h, _, _ = net.context(np.array([1, 2, 3]))
+    h, _ = net.context(np.array([1, 2, 3]), np.arange(3))
     z = h @ net.out.T + net.bias
     total = sum(10 ** net.log10(np.array([o])) for o in range(lm.OUT))
     assert abs(total - 1) < 1e-3 and z.shape == (3, lm.OUT)
+    seen = {}
+    for ws in split:
+        for w in [*ws, ""]:
+            seen[w] = seen.get(w, 0) + 1
+    n, kinds = sum(seen.values()), len(seen)
+    want = sorted((len(ws) + 1, sum(np.log10((seen.get(w, 0) + 1) / (n + kinds + 1)) for w in [*ws, ""])) for ws in split)
+    assert np.allclose(sorted(zip(got["n_tokens"], got["base_score"], strict=True)), want) and (got["n_known"] == got["n_tokens"]).all()
+
+
+def test_language_model_batches_are_whole_texts(monkeypatch):
+    """Texts scored together, and long ones in stretches, get the context of their own text and nothing else's."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, lm.OUT, n) for n in (1, 2, 5, 700, 3, 9000, 1, 40)]
+    net = lm.Net.start(np.full(lm.OUT, 1 / lm.OUT))
+
+    def plain(o):
+        total = 0.0
+        for t in range(len(o)):
+            h = sum(net.near[i][o[t - 1 - i] if t > i else lm.OUT] for i in range(lm.ORDER)) + (net.far[o[:t]].mean(0) if t else 0)
+            z = (net.out @ h + net.bias).astype(float)
+            total += z[o[t]] - np.log(np.exp(z - z.max()).sum()) - z.max()
+        return total / np.log(10)
+
+    want = [plain(o) for o in texts]
+    for stretch in (lm.STRETCH, 512):
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        assert np.allclose(net.log10_all(texts), want, rtol=1e-4)
+
+
+def test_language_model_learns(monkeypatch):
+    """The gradient of one step is that of the sampled loss, by differences; steps raise the probability of what was seen."""
+    rng = np.random.default_rng(9)
+    q = np.full(lm.OUT, 1 / lm.OUT)
+    o, pos = rng.integers(0, 40, 60), np.r_[np.arange(25), np.arange(35)]
+    t = lm.Trainer(lm.Net.start(q), q, 1)
+    start, noise = t.net.flat.astype(np.float64), np.minimum(np.searchsorted(np.cumsum(q), np.random.default_rng(1).random(lm.SHARED_NOISE)), lm.OUT - 1)
+
+    def loss(flat):
+        net = lm.Net(flat.astype(np.float32))
+        h, _ = net.context(o, pos)
+        s = (h * net.out[o]).sum(1) + net.bias[o] - t.log_kq[o]
+        x = h @ net.out[noise].T + net.bias[noise] - t.log_kq[noise]
+        return -np.logaddexp(0, -s.astype(float)).sum() - lm.NOISE / lm.SHARED_NOISE * np.logaddexp(0, x.astype(float)).sum()
+
+    t.learn(o, pos)
+    grad = np.sqrt((t.squares.flat.astype(float) - 1e-2).clip(0)) * np.sqrt(len(o))
+    for i in np.argsort(-grad)[:: max(1, lm.Net.SIZE // 400)][:6]:
+        step = np.zeros_like(start)
+        step[i] = 0.02
+        assert abs(abs(loss(start + step) - loss(start - step)) / 0.04 - grad[i]) < 0.05 * grad[i] + 0.05
+    first = lm.Net(start.astype(np.float32)).log10_all([o])[0]
+    for _ in range(20):
+        t.learn(o, pos)
+    assert t.net.log10_all([o])[0] > first + 5
 
 
 def test_language_model_trains_on_every_text(spark):

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import LOWER_BYTES, id_crc, materialize, table
+from tidelog.llm.common import LOWER_BYTES, fresh, id_crc, materialize, table
 
 WORDS, SUFFIXES, DIM, ORDER = 384, 126, 16, 4
 OUT = 1 + WORDS + SUFFIXES + 1
 END, REST = 0, OUT - 1
 ROUNDS, RATE, NOISE, SHARED_NOISE = 2, 0.15, 10, 96
+#: Tokens that are learned from or scored together, at least; a longer text than STRETCH goes in stretches, which know what came before.
+BATCH, STRETCH = 2048, 1 << 15
 FREQUENT = 1 << 17
 #: Longer words are known by a digest.
 LONG = 48
@@ -149,152 +151,237 @@ class Net:
         net.bias[:] = np.log(q)
         return net
 
-    def context(self, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """h for every token of a text, the outcomes before each, and 1 / how many came before."""
+    def context(self, o: np.ndarray, pos: np.ndarray, begun: "Begun | None" = None) -> tuple[np.ndarray, np.ndarray]:
+        """h for every token, and 1 / how many came before it. ``o``: texts one after another; ``pos``: places in them.
+
+        ``begun``: what stands before the first token, where that is not the start of a text.
+        """
         n = len(o)
-        before = np.full((ORDER, n), OUT, dtype=np.int64)
+        led = np.concatenate([np.full(ORDER, OUT) if begun is None else begun.last, o])
         for i in range(ORDER):
-            before[i, i + 1 :] = o[: max(0, n - i - 1)]
-        h = self.near[0][before[0]]
-        for i in range(1, ORDER):
-            h += self.near[i][before[i]]
-        share = (1 / np.maximum(np.arange(n), 1)).astype(np.float32)
-        past = np.cumsum(self.far[o], axis=0, dtype=np.float64)
-        h[1:] += (past[:-1] * share[1:, None]).astype(np.float32)
-        return h, before, share
+            before = led[ORDER - 1 - i : ORDER - 1 - i + n]
+            if begun is None:
+                before = np.where(pos <= i, OUT, before)
+            h = self.near[i][before] if i == 0 else h + self.near[i][before]
+        share = (1 / np.maximum(pos, 1)).astype(np.float32)
+        row = self.far[o]
+        past = np.cumsum(row, axis=0, dtype=np.float64)
+        past -= row
+        past -= past[np.maximum(np.arange(n) - (pos - pos[0] if begun else pos), 0)]
+        if begun is not None:
+            past += begun.total
+            begun.add(o, row)
+        h += (past * share[:, None]).astype(np.float32)
+        return h, share
 
     def log10(self, o: np.ndarray) -> float:
-        """Normalised log10 probability of a text's outcomes, in blocks of tokens."""
-        h, _, _ = self.context(o)
-        total, qt = 0.0, np.ascontiguousarray(self.out.T)
-        for lo in range(0, len(o), 512):
-            z = h[lo : lo + 512] @ qt
-            z += self.bias
-            z -= z.max(1, keepdims=True)
-            t = z[np.arange(len(z)), o[lo : lo + 512]].astype(np.float64)
-            np.exp(z, out=z)
-            total += float((t - np.log(z.sum(1, dtype=np.float64))).sum())
-        return total / np.log(10)
-
-
-def _by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sum of each one's gradients."""
-    order = np.argsort(rows, kind="stable")
-    at = rows[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.add.reduceat(g[order], first, axis=0)
+        """Normalised log10 probability of a text's outcomes."""
+        return float(self.log10_all([o])[0])
+
+    def log10_all(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Normalised log10 probabilities of texts, over blocks of tokens: one matrix product and one exponential each."""
+        out, weights = np.zeros(len(texts)), np.vstack([self.out.T, self.bias]).astype(np.float32)
+        ones, most = np.ones(OUT, dtype=np.float32), np.abs(self.out).max(0)
+        for which, o, pos, begun in stretches(texts):
+            h, _ = self.context(o, pos, begun)
+            got = np.empty(len(o))
+            for lo in range(0, len(o), 256):
+                a = h[lo : lo + 256]
+                z = np.hstack([a, np.ones((len(a), 1), dtype=np.float32)]) @ weights
+                # no exponential overflows or vanishes while no logit can be far from 0
+                far = float((np.abs(a) @ most).max() + np.abs(self.bias).max()) > 60
+                if far:
+                    z -= z.max(1, keepdims=True)
+                t = z[np.arange(len(z)), o[lo : lo + 256]].astype(np.float64)
+                got[lo : lo + 256] = t - np.log((np.exp(z, out=z) @ ones).astype(np.float64))
+            out += np.bincount(which, weights=got, minlength=len(texts))
+        return out / np.log(10)
+
+
+class Begun:
+    """What of a long text stands before a stretch of it: its last tokens, and the sum of ``far`` over all of them."""
+
+    def __init__(self):
+        self.last, self.total = np.full(ORDER, OUT), np.zeros(DIM)
+
+    def add(self, o: np.ndarray, rows: np.ndarray) -> None:
+        self.last = np.concatenate([self.last, o])[-ORDER:]
+        self.total = self.total + rows.sum(0, dtype=np.float64)
+
+
+def stretches(texts: list[np.ndarray]):
+    """(text of each token, outcomes, places, begun): short texts together, BATCH tokens or more; longer ones than STRETCH in stretches, in order."""
+    held, size = [], 0
+    for i, o in enumerate(texts):
+        if len(o) > STRETCH:
+            begun = Begun()
+            for lo in range(0, len(o), STRETCH):
+                part = o[lo : lo + STRETCH]
+                yield np.full(len(part), i), part, np.arange(lo, lo + len(part)), begun
+            continue
+        held.append(i)
+        size += len(o)
+        if size >= BATCH:
+            yield _together(texts, held)
+            held, size = [], 0
+    if held:
+        yield _together(texts, held)
+
+
+def _together(texts: list[np.ndarray], held: list[int]):
+    lengths = np.array([len(texts[i]) for i in held])
+    first = np.cumsum(lengths) - lengths
+    return np.repeat(held, lengths), np.concatenate([texts[i] for i in held]), np.arange(lengths.sum()) - np.repeat(first, lengths), None
 
 
 class Trainer:
-    #: The first rows of ``far`` and ``out`` when the tables are taken as one.
-    FAR, LAST = ORDER * (OUT + 1), ORDER * (OUT + 1) + OUT
-
     def __init__(self, net: Net, q: np.ndarray, seed: int):
         self.net, self.rng = net, np.random.default_rng(seed)
         self.cum, self.log_kq = np.cumsum(q), np.log(NOISE * q).astype(np.float32)
         self.squares, self.tokens = Net(np.full(Net.SIZE, 1e-2, dtype=np.float32)), 0
-        self.rows, self.row_squares = (x.flat[: Net.SIZE - OUT].reshape(-1, DIM) for x in (net, self.squares))
-
-    @staticmethod
-    def _step(x: np.ndarray, squares: np.ndarray, at, d: np.ndarray) -> None:
-        """AdaGrad on the rows ``at``; the others have no gradient."""
-        sq = squares[at] + d * d
-        squares[at] = sq
-        x[at] += RATE * d / np.sqrt(sq)
 
-    def learn(self, o: np.ndarray) -> None:
-        """One NCE step over a text (or a stretch of a long one)."""
+    def learn(self, o: np.ndarray, pos: np.ndarray, begun: Begun | None = None) -> None:
+        """One NCE step with AdaGrad over texts that stand one after another (or a stretch of a long one)."""
         net, n = self.net, len(o)
-        h, before, share = net.context(o)
+        h, share = net.context(o, pos, begun)
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(SHARED_NOISE)), OUT - 1)
-        s = (h * net.out[o]).sum(1) + net.bias[o] - self.log_kq[o]
-        sx = h @ net.out[noise].T + (net.bias[noise] - self.log_kq[noise])
-        g = 1 - 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        gx = -(NOISE / SHARED_NOISE) / (1 + np.exp(-np.clip(sx, -30, 30)))
-        dh = g[:, None] * net.out[o] + gx @ net.out[noise]
-        later = np.cumsum((dh * share[:, None])[::-1], axis=0)[::-1]
-        rows = np.concatenate([*(before[i] + i * (OUT + 1) for i in range(ORDER)), o[:-1] + self.FAR, o + self.LAST, noise + self.LAST])
-        parts = [*[dh] * ORDER, later[1:], g[:, None] * h, gx.T @ h]
-        at, d = _by_row(rows.astype(np.int16), np.vstack(parts).astype(np.float32))
-        self._step(self.rows, self.row_squares, at, d / np.float32(np.sqrt(n)))
-        db = np.bincount(np.r_[o, noise], weights=np.r_[g, gx.sum(0)], minlength=OUT).astype(np.float32)
-        self._step(net.bias, self.squares.bias, slice(None), db / np.float32(np.sqrt(n)))
+        own, other = net.out[o], net.out[noise]
+        s = np.einsum("ij,ij->i", h, own) + net.bias[o] - self.log_kq[o]
+        sx = h @ other.T
+        sx += net.bias[noise] - self.log_kq[noise]
+        g = 1 / (1 + np.exp(np.clip(s, -30, 30)))
+        gx = np.exp(-np.clip(sx, -30, 30, out=sx), out=sx)
+        gx += 1
+        np.divide(np.float32(-NOISE / SHARED_NOISE), gx, out=gx)
+        dh = own * g[:, None]
+        dh += gx @ other
+        # What each token's rows get: from the ORDER tokens after it, from all after it in its text, and as an outcome.
+        place = pos - pos[0] if begun is not None else pos
+        last = np.append(np.flatnonzero(place == 0)[1:] - 1, n - 1)
+        left = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(n)
+        sums = np.cumsum(dh * share[:, None], axis=0)
+        parts = np.empty((n, ORDER + 2, DIM), dtype=np.float32)
+        for i in range(ORDER):
+            parts[: n - i - 1, i] = dh[i + 1 :]
+            parts[left <= i, i] = 0
+        parts[:, ORDER] = sums[np.arange(n) + left] - sums
+        parts[:, ORDER + 1] = h * g[:, None]
+        order = np.argsort(o.astype(np.int16), kind="stable")
+        at = o[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        each = np.add.reduceat(parts.reshape(n, -1)[order], first, axis=0).reshape(len(first), ORDER + 2, DIM)
+        d = Net(np.zeros(Net.SIZE, dtype=np.float32))
+        for i in range(ORDER):
+            d.near[i][at[first]] = each[:, i]
+            if begun is None:
+                d.near[i][OUT] = dh[pos <= i].sum(0)
+        d.far[at[first]], d.out[at[first]] = each[:, ORDER], each[:, ORDER + 1]
+        np.add.at(d.out, noise, gx.T @ h)
+        d.bias[:] = np.bincount(np.concatenate([o, noise]), weights=np.concatenate([g, gx.sum(0)]), minlength=OUT)
+        d = d.flat
+        d /= np.float32(np.sqrt(n))
+        self.squares.flat += d * d
+        net.flat += np.float32(RATE) * d / np.sqrt(self.squares.flat)
         self.tokens += n
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> Net:
-    """docs: training rows; each is trained on."""
-    spark = docs.sparkSession
-    net, words = Net.start(vocabulary.q), spark.sparkContext.broadcast(vocabulary)
-    texts = docs.select("text")
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
+    """``keep`` columns; each text's outcomes (little-endian u16, with the end); counts and base terms of frequent words; hashes of the others."""
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        import xxhash
+
+        v = words.value
+        h64, end = xxhash.xxh64_intdigest, np.log10(v.end_count + 1)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                n, known, sure, within, hashes, codes = [], [], [], [], [], []
+                for raw in part.column(part.num_columns - 1).cast(pa.binary()).to_pylist():
+                    ws = tokens_of(raw)
+                    place, o, rare = v.read(ws)
+                    at = place[place >= 0] if len(rare) else place
+                    logs = v.log_count[at]
+                    inside = logs[v.class_of[at] > WORDS].sum() if len(logs) else 0.0
+                    n.append(len(o))
+                    known.append(len(ws) - len(rare) + (v.end_count > 0))
+                    sure.append(float(logs.sum() + end))
+                    within.append(float(inside - v.log_mass[o].sum()))
+                    hashes.append(np.array([h64(ws[i], 42) for i in rare.tolist()], dtype=np.uint64).view(np.int64))
+                    codes.append(o.astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sure, pa.float64()), pa.array(within, pa.float64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(codes, pa.binary())], [*keep, "n_tokens", "known", "sure", "within", "rare", "codes"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_tokens bigint, known bigint, sure double, within double, rare array<bigint>, codes binary")
+
+
+def _outcomes(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+
+
+def fit(encoded: DataFrame, vocabulary: Vocabulary) -> Net:
+    """encoded: codes of the training texts; each is trained on, whole, in every round."""
+    spark = encoded.sparkSession
+    net, q = Net.start(vocabulary.q), vocabulary.q
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(net.flat)
 
         def run(batches, now=now, turn=turn):
-            v = words.value
-            t = Trainer(Net(now.value.copy()), v.q, turn)
+            t = Trainer(Net(now.value.copy()), q, turn)
             for b in batches:
-                for raw in b.column(0).cast(pa.binary()).to_pylist():
-                    o = v.read(tokens_of(raw))[1]
-                    for lo in range(0, len(o), 1024):
-                        t.learn(o[lo : lo + 1024])
+                for _, o, pos, begun in stretches(_outcomes(b.column(0))):
+                    t.learn(o, pos, begun)
             if t.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(Net.SIZE), pa.int32()), pa.array(t.net.flat.astype(np.float64) * t.tokens), pa.array(np.full(Net.SIZE, float(t.tokens)))], ["i", "x", "n"])
 
-        mixed = texts.mapInArrow(lambda batches, f=run: f(batches), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        mixed = encoded.select("codes").mapInArrow(lambda batches, f=run: f(batches), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         flat = net.flat.copy()
         flat[mixed["i"].to_numpy(dtype=int)] = mixed["x"].to_numpy()
         net = Net(flat)
     return net
 
 
+def train(docs: DataFrame, vocabulary: Vocabulary) -> Net:
+    """docs: training rows; each is trained on."""
+    return fit(materialize(encode(docs, vocabulary, []).select("codes"), "codes"), vocabulary)
+
+
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Net, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    words, params = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(net.flat)
+    return score_encoded(materialize(encode(docs, vocabulary, keep), "read"), counts, vocabulary, net, keep)
 
-    def run(batches):
-        import xxhash
 
-        v, net = words.value, Net(params.value)
-        h64, end = xxhash.xxh64_intdigest, np.log10(v.end_count + 1)
+def score_encoded(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Net, keep: list[str]) -> DataFrame:
+    """The same, of what ``encode`` made."""
+    params = encoded.sparkSession.sparkContext.broadcast(net.flat)
+
+    def run(batches):
+        net = Net(params.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                n, known, sure, model, hashes = [], [], [], [], []
-                for raw in part.column(part.num_columns - 1).cast(pa.binary()).to_pylist():
-                    ws = tokens_of(raw)
-                    place, o, rare = v.read(ws)
-                    logs = v.log_count[place[place >= 0]]
-                    inside = logs[v.class_of[place[place >= 0]] > WORDS].sum() if len(logs) else 0.0
-                    n.append(len(o))
-                    known.append(len(ws) - len(rare) + (v.end_count > 0))
-                    sure.append(float(logs.sum() + end))
-                    model.append(net.log10(o) + float(inside - v.log_mass[o].sum()))
-                    r = np.array([h64(ws[i], 42) for i in rare.tolist()], dtype=np.uint64).view(np.int64)
-                    hashes.append(r)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sure, pa.float64()), pa.array(model, pa.float64()), pa.array(hashes, pa.list_(pa.int64()))], [*keep, "n_tokens", "known", "sure", "model", "rare"])
+            model = net.log10_all(_outcomes(b.column(b.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model, pa.float64())], [*b.schema.names[:-1], "model"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    read = docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_tokens bigint, known bigint, sure double, model double, rare array<bigint>")
-    read = materialize(read.withColumn("__rid", F.monotonically_increasing_id()), "read")
+    rid = fresh(encoded.columns, "rid")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "codes")
+    read = materialize(encoded.mapInArrow(run, f"{kinds}, model double").withColumn(rid, F.monotonically_increasing_id()), "scored")
     seldom = counts.where(F.col("c") * FREQUENT < vocabulary.n).select(F.xxhash64("word").alias("w"), F.log10(F.col("c") + 1.0).alias("x"))
-    rare = read.select("__rid", F.explode("rare").alias("w")).join(seldom, "w").groupBy("__rid").agg(F.sum("x").alias("x"), F.count("*").alias("k"))
+    rare = read.select(rid, F.explode("rare").alias("w")).join(seldom, "w").groupBy(rid).agg(F.sum("x").alias("x"), F.count("*").alias("k"))
     norm = float(np.log10(vocabulary.n + vocabulary.v + 1))
     x = F.coalesce("x", F.lit(0.0))
-    return read.drop("rare").join(rare, "__rid", "left").select(
+    return read.drop("rare").join(rare, rid, "left").select(
         *keep,
         "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocabulary.n).cast("long").alias("train_tokens"),
         (F.col("sure") + x - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("model") + x).alias("score"),
+        (F.col("model") + F.col("within") + x).alias("score"),
     )
 
 
 def op4_language_model(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_crc("doc_id") % 7 == 2)
-    learn = docs.where("NOT held_out")
-    counts = materialize(word_counts(learn), "counts")
+    counts = materialize(word_counts(docs.where("NOT held_out")), "counts")
     vocabulary = Vocabulary(counts)
-    return score(docs, counts, vocabulary, train(learn, vocabulary), ["doc_id", "held_out"])
+    encoded = materialize(encode(docs, vocabulary, ["doc_id", "held_out"]), "encoded")
+    return score_encoded(encoded, counts, vocabulary, fit(encoded.where("NOT held_out"), vocabulary), ["doc_id", "held_out"])
