@@ -1,11 +1,10 @@
 """URL filter by path templates.
 
-The distinct (host, path) pairs form a tree per host. It is walked level by level, each level one pair of
+The distinct (host, path) pairs form a tree per host. It is walked level by level to the deepest path, each level a few
 aggregations over all hosts: among the children of a node, segments of the same shape (number, number with a suffix,
-word, mixed) are one branch set. A set becomes the wildcard ``{shape}`` when it has more than ``MAX_CHILDREN``
-distinct segments, or when a chi-square test finds no difference between their labelled shares of good pages
-(with at least ``MIN_LABELLED`` labels to tell by). Of more than ``MAX_CHILDREN``, those with ``MIN_LABELLED`` labels whose share differs
-from that of the rest stay branches of their own (chi-square of each against the rest, at 5 % over all that are tested). Below ``MAX_DEPTH`` the rest of a path is ``**``. A template's
+word, mixed) are one branch set. A set of two or more becomes the wildcard ``{shape}``, without those children that
+labels tell apart: a child with ``MIN_LABELLED`` labels stays a branch of its own if its share of good pages differs from
+the middle one of such children (chi-square at 5 % over all that are tested). How many children there are does not matter. A template's
 purity is its labelled share of good pages, smoothed towards the overall share by ``PRIOR`` pages; templates under
 ``LEAST`` times the overall share are blocked.
 
@@ -25,7 +24,7 @@ from tidelog.llm.common import materialize, salted_join, table
 
 #: (verdict, host suffix, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-MAX_CHILDREN, MAX_DEPTH, MIN_LABELLED = 8, 8, 20
+MIN_LABELLED = 20
 PRIOR, LEAST = 10.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,40 +55,35 @@ def _shape(seg: Column) -> Column:
     )
 
 
-def _differs(x: Column) -> Column:
-    """Whether a child (l, g) of a set (__l, __g, __told) differs from the rest; exp(-c / 2) bounds the chance of a chi-square over c."""
-    n, good = F.col("__l").cast("double"), F.col("__g").cast("double")
-    off = x["g"] * n - x["l"] * good
-    spread = x["l"] * good * (n - good) * (n - x["l"])
-    return (spread > 0) & (off * off * n > 2 * F.log(F.size("__told") * 20.0) * spread)
-
-
 def templates(paths: DataFrame) -> DataFrame:
     """paths: distinct host, path with n, n_labelled, n_good. Adds template (the last level's wildcards and literals)."""
     segs = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    at = paths.withColumn("__segs", segs).withColumn("template", F.lit(""))
+    at, done = paths.withColumn("__segs", segs).withColumn("template", F.lit("")), []
     deepest = paths.select(F.max(F.size(segs))).first()[0] or 0
-    for depth in range(min(deepest, MAX_DEPTH)):
+    for depth in range(deepest):
         seg = F.get("__segs", F.lit(depth))
-        rows = at.withColumn("__seg", seg).withColumn("__shape", F.when(seg.isNotNull(), _shape(seg)))
-        per = rows.where("__seg IS NOT NULL").groupBy("host", "template", "__shape", "__seg").agg(F.sum("n_labelled").alias("l"), F.sum("n_good").alias("g"))
-        p = F.try_divide(F.sum("g"), F.sum("l"))
-        # chi-square of good shares over the children: sum((g - l p)^2 / (l p (1 - p))) = (sum(g^2 / l) - p sum(g)) / (p (1 - p))
-        spread = F.sum(F.when(F.col("l") > 0, F.col("g") * F.col("g") / F.col("l")))
-        df = F.greatest(F.sum(F.when(F.col("l") > 0, 1).otherwise(0)) - 1, F.lit(1)).cast("double")
-        # 95 % quantile by the cube-root normal approximation
-        limit = df * F.pow(1 - 2 / (9 * df) + 1.6449 * F.sqrt(2 / (9 * df)), 3)
-        alike = (F.sum("l") >= MIN_LABELLED) & ((p <= 0) | (p >= 1) | (F.try_divide(spread - p * F.sum("g"), p * (1 - p)) <= limit))
-        many = F.count("*") > MAX_CHILDREN
-        told = F.collect_list(F.when(F.col("l") >= MIN_LABELLED, F.struct("__seg", "l", "g")))
-        sets = per.groupBy("host", "template", "__shape").agg((many | ((F.count("*") > 1) & F.coalesce(alike, F.lit(False)))).alias("__wild"), F.when(many, told).alias("__told"), F.sum("l").alias("__l"), F.sum("g").alias("__g"))
-        apart = F.transform(F.filter("__told", _differs), lambda x: x["__seg"])
-        wild = materialize(sets.where("__wild").select("host", "template", "__shape", "__wild", F.coalesce(apart, F.array().cast("array<string>")).alias("__apart")), "wildcards")
-        joined = salted_join(rows, wild, ["host", "template", "__shape"], "left")
-        step = F.when(F.col("__seg").isNull(), F.lit("")).when(F.col("__wild") & ~F.array_contains("__apart", F.col("__seg")), F.concat(F.lit("/{"), F.col("__shape"), F.lit("}"))).otherwise(F.concat(F.lit("/"), F.col("__seg")))
+        # Paths that end here take no part in deeper levels.
+        done.append(at.where(F.size("__segs") <= depth).drop("__segs"))
+        rows = at.where(F.size("__segs") > depth).withColumn("__seg", seg).withColumn("__shape", _shape(seg))
+        per = materialize(rows.groupBy("host", "template", "__shape", "__seg").agg(F.sum("n_labelled").alias("l"), F.sum("n_good").alias("g")), "children")
+        told = F.col("l") >= MIN_LABELLED
+        sets = per.groupBy("host", "template", "__shape").agg(
+            F.count("*").alias("__n"), F.count(F.when(told, 1)).alias("__told"), F.percentile_approx(F.when(told, F.col("g") / F.col("l")), 0.5, 10000).alias("__mid")
+        )
+        wild = materialize(sets.where("__n > 1"), "wildcards")
+        judged = salted_join(per, wild, ["host", "template", "__shape"], "inner", 8)
+        # A child differs by a chi-square of one degree of freedom against the middle share; exp(-c / 2) bounds the chance of one over c.
+        p = (F.col("__mid") * F.col("l") + 0.5) / (F.col("l") + 1)
+        chi2 = F.pow(F.col("g") - F.col("l") * p, 2) / (F.col("l") * p * (1 - p))
+        apart = judged.where(told & (chi2 > 2 * F.log(F.col("__told") * 20.0))).select("host", "template", "__shape", "__seg", F.lit(True).alias("__apart"))
+        joined = salted_join(rows, wild.select("host", "template", "__shape", F.lit(True).alias("__wild")), ["host", "template", "__shape"], "left")
+        joined = salted_join(joined, materialize(apart, "apart"), ["host", "template", "__shape", "__seg"], "left")
+        step = F.when(F.col("__wild") & F.col("__apart").isNull(), F.concat(F.lit("/{"), F.col("__shape"), F.lit("}"))).otherwise(F.concat(F.lit("/"), F.col("__seg")))
         at = materialize(joined.withColumn("template", F.concat("template", step)).drop("__seg", "__shape", "__wild", "__apart"), "level")
-    rest = F.when(F.size("__segs") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return at.withColumn("template", rest).drop("__segs")
+    out = at.drop("__segs")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def judge_urls(pages: DataFrame, good: DataFrame | None = None, rules=RULES) -> DataFrame:
