@@ -105,6 +105,58 @@ def test_urls_bad_section_among_many(spark):
     assert {s for s, _, v in got if v == "block"} == {"d"}
 
 
+def test_urls_trees_match_a_plain_form(spark):
+    """Templates and purity of a small crawl, deep paths among them, against a recursive form."""
+    rng = np.random.default_rng(15)
+    pages = sorted({f"/{'abc'[rng.integers(3)]}/{'xyzuvwstr'[rng.integers(9)]}" + "".join(f"/{rng.integers(3)}" for _ in range(int(rng.integers(0, 12)))) for _ in range(1200)})
+    share = {s: rng.choice([0.05, 0.9, 0.9]) for s in "xyzuvwstr"}
+    good = {p: (int(rng.integers(1, 6)), 0) for p in pages if rng.random() < 0.9}
+    good = {p: (n, int(rng.binomial(n, share[p.split("/")[2]]))) for p, (n, _) in good.items()}
+
+    def walk(paths, depth, so_far, out):
+        sets = {}
+        for p in paths:
+            segs = p.split("/")[1:]
+            if len(segs) <= depth:
+                out[p] = so_far
+            else:
+                shape = "number" if segs[depth].isdigit() else "word"
+                sets.setdefault(shape, {}).setdefault(segs[depth], []).append(p)
+        for shape, children in sets.items():
+            told = {s: (sum(good.get(p, (0, 0))[0] for p in ps), sum(good.get(p, (0, 0))[1] for p in ps)) for s, ps in children.items()}
+            told = {s: x for s, x in told.items() if x[0] >= urls.MIN_LABELLED}
+            shares = sorted(g / n for n, g in told.values())
+            below = {}
+            for s, ps in children.items():
+                literal = len(children) == 1
+                if s in told and not literal:
+                    (n, g), mid = told[s], shares[(len(shares) - 1) // 2]
+                    p0 = (mid * n + 0.5) / (n + 1)
+                    literal = (g - n * p0) ** 2 / (n * p0 * (1 - p0)) > 2 * np.log(20 * len(told))
+                below.setdefault(f"{so_far}/{s}" if literal else f"{so_far}/{{{shape}}}", []).extend(ps)
+            for t, ps in below.items():
+                walk(ps, depth + 1, t, out)
+        return out
+
+    want = walk(pages, 0, "", {})
+    labels = spark.createDataFrame([("h.io", p, n, g) for p, (n, g) in good.items()], "host string, path string, n_labelled long, n_good long")
+    judged = urls.judge_urls(spark.createDataFrame([(i, "http://h.io" + p) for i, p in enumerate(pages)], "page_id long, url string"), labels).collect()
+    assert {r["path"]: r["template"] for r in judged} == want and len({t for t in want.values()}) > 5
+    total = [sum(x) for x in zip(*good.values(), strict=True)]
+    overall, per = total[1] / total[0], {}
+    for p, t in want.items():
+        n, g = per.get(t, (0, 0))
+        per[t] = (n + good.get(p, (0, 0))[0], g + good.get(p, (0, 0))[1])
+    assert all(abs(r["purity"] - (per[r["template"]][1] + 10 * overall) / (per[r["template"]][0] + 10)) < 1e-9 for r in judged)
+    assert {r["verdict"] for r in judged} == {"allow", "block"}
+
+
+def test_urls_edge_cases(spark):
+    one = spark.createDataFrame([(1, "http://a.b/c/1", "x", "y", 2.0)], "page_id long, url string, html string, __wild string, purity_ double")
+    got = urls.judge_urls(one)
+    assert got.count() == 1 and set(one.columns) <= set(got.columns) and urls.judge_urls(one.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("best", [9, 3])
 def test_urls_method_blocks_by_the_overall_share(spark, best):
     """Eleven bad pages block their template, whether good ones are many (share 0.85) or few (0.28), and no unlabelled one is blocked."""
@@ -240,6 +292,29 @@ def test_neighbours(spark):
     assert neighbours.nearest(v.where("id < 0"), v.where("id < 0")).count() == 0
 
 
+def test_distances_are_exact_with_ties_and_far_from_the_origin():
+    rng = np.random.default_rng(13)
+    for p in (rng.integers(0, 2, (400, 12)).astype(float), rng.standard_normal((400, 6)) + 1e7, np.ones((30, 4))):
+        q, ids = p[:20], rng.permutation(len(p))
+        pos, d = neighbours.distances(q, p, 9, ids)
+        for i in range(len(q)):
+            full = np.sqrt(((p - q[i]) ** 2).sum(1))
+            want = np.lexsort((ids, full))[:9]
+            assert pos[i].tolist() == want.tolist() and np.array_equal(d[i], full[want])
+
+
+def test_neighbours_far_from_the_origin(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((900, 8)) + 1e7
+    v = neighbours.valid_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got, hit = neighbours.nearest(v, v.where("id % 50 = 0")).toPandas(), 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(900), d))[:10]) & set(g["vec_id"]))
+    assert len(got) == 180 and hit >= 0.9 * 180
+
+
 def test_pii(spark, docs, empty):
     text = "x a@b.c_x@d.e +1 (017) 555-7713 card 4111 1111 1111 1111 ip 1.2.3.4 999.1.1.1 iban DE89370400440532013000 " + "9" * 3000
     got = pii.find_pii(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()

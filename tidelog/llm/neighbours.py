@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on at most ``SAMPLE`` vectors; every row is then assigned to a leaf. A query walks the tree
+The tree is fitted on a sample (``SAMPLE`` vectors, from ten million rows on one in ``SHARE``, at most ``MOST``); every row is then assigned to a leaf. A query walks the tree
 best-bin-first: a priority queue holds nodes by their centroid's distance, and the nearest is opened until enough
 leaves are out. How many is calibrated: for ``CALIBRATION`` queries the true neighbours are found by brute force over
 all rows, and leaf visits widen until ``TARGET`` of those neighbours lie in visited leaves.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import materialize, table
 
 K = 10
-SAMPLE, BRANCH, LEAF = 20_000, 8, 48
+#: At most one vector in SHARE, and SAMPLE at least, make the tree, so that its leaves grow in number with the rows, up to MOST vectors.
+SAMPLE, SHARE, MOST, BRANCH, LEAF = 20_000, 500, 200_000, 8, 48
 CALIBRATION, TARGET = 96, 0.97
 BLOCK_POINTS, GROUP_QUERIES = 4096, 2048
 
@@ -44,6 +45,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    c, x = c - c.mean(0), x - c.mean(0)  # near the origin, where the expanded square loses nothing
     return ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
 
 
@@ -104,14 +106,28 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist() if isinstance(column, pa.Array) else list(column), dtype=np.float64)
 
 
-def distances(q: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact distances of the k nearest points for each query."""
-    near = (p * p).sum(1) - 2 * (q @ p.T)
-    m = min(len(p), k + 6)
-    pos = np.argpartition(near, m - 1, axis=1)[:, :m] if m < len(p) else np.tile(np.arange(len(p)), (len(q), 1))
-    d = np.sqrt(((p[pos] - q[:, None, :]) ** 2).sum(2))
-    order = np.lexsort((pos, d))[:, :k]
-    return np.take_along_axis(pos, order, 1), np.take_along_axis(d, order, 1)
+def distances(q: np.ndarray, p: np.ndarray, k: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact distances of the k nearest points for each query, ties to the smaller id (position, if none are given).
+
+    One matrix product of the centred vectors proposes the points, all that its rounding error leaves possible; exact distances decide.
+    """
+    k, ids = min(k, len(p)), np.arange(len(p)) if ids is None else ids
+    centre = p.mean(0)
+    a, b = q - centre, p - centre
+    norms = (b * b).sum(1)
+    near = norms - 2 * (a @ b.T)
+    # |error| of a sum of n products is at most about n * eps * the product of the norms
+    margin = 8 * np.finfo(float).eps * p.shape[1] * ((a * a).sum(1) + norms.max(initial=0) + np.square(np.abs(centre).max(initial=0)) * np.finfo(float).eps)
+    kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+    possible = near <= (kth + 2 * margin)[:, None]
+    # Positions of the possible points, row by row, in a table as wide as the longest row.
+    row, at = np.nonzero(possible)
+    d = np.sqrt(((p[at] - q[row]) ** 2).sum(1))
+    order = np.lexsort((ids[at], d, row))
+    n = possible.sum(1)
+    first = np.cumsum(n) - n
+    take = order[first[:, None] + np.arange(k)]
+    return at[take], d[take]
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -128,8 +144,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, target: float =
     kept = vectors.distinct().withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
     points = materialize(kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")), "points")
     n = points.count()
-    share = min(1.0, 1.3 * SAMPLE / max(n, 1))
-    rows = points.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("v", F.col("ids")[0].alias("id")).limit(SAMPLE).toPandas().sort_values("id")
+    wanted = min(MOST, max(SAMPLE, n // SHARE))
+    share = min(1.0, 1.3 * wanted / max(n, 1))
+    rows = points.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("v", F.col("ids")[0].alias("id")).limit(wanted).toPandas().sort_values("id")
     if rows.empty:
         return spark.createDataFrame([], out_schema)
     dim = rows["v"].map(len).mode().max()
@@ -156,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, target: float =
         q = tested.value
         for b in batches:
             if b.num_rows and len(q):
-                pos, d = distances(q, _matrix(b.column(0)), k + 1)
+                pos, d = distances(q, _matrix(b.column(0)), k + 1)  # which of tied points does not matter here
                 leaf = b.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), pos.shape[1])), pa.array(leaf[pos].ravel()), pa.array(d.ravel())], ["q", "leaf", "d"])
 
@@ -192,9 +209,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, target: float =
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64"), "ids": pd.Series(dtype=object)})
         out = []
         p = np.stack(list(points_["v"]))
+        least = np.array([x[0] for x in points_["ids"]])
         for lo in range(0, len(asked_), 256):
             part = asked_.iloc[lo : lo + 256]
-            pos, d = distances(np.stack(list(part["v"])), p, k + 1)
+            pos, d = distances(np.stack(list(part["v"])), p, k + 1, least)
             out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), pos.shape[1]), "d": d.ravel(), "ids": [list(x) for x in points_["ids"].to_numpy()[pos.ravel()]]}))
         return pd.concat(out, ignore_index=True)
 
