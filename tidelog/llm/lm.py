@@ -162,12 +162,14 @@ class Net:
             before = led[ORDER - 1 - i : ORDER - 1 - i + n]
             if begun is None:
                 before = np.where(pos <= i, OUT, before)
-            h = self.near[i][before] if i == 0 else h + self.near[i][before]
+            row = self.near[i].take(before, axis=0)
+            h = row if i == 0 else np.add(h, row, out=h)
         share = (1 / np.maximum(pos, 1)).astype(np.float32)
-        row = self.far[o]
-        past = np.cumsum(row, axis=0, dtype=np.float64)
+        row = self.far.take(o, axis=0)
+        past = row.astype(np.float64)
+        np.add.accumulate(past, axis=0, out=past)
         past -= row
-        past -= past[np.maximum(np.arange(n) - (pos - pos[0] if begun else pos), 0)]
+        past -= past.take(np.maximum(np.arange(n) - (pos - pos[0] if begun else pos), 0), axis=0)
         if begun is not None:
             past += begun.total
             begun.add(o, row)
@@ -180,20 +182,21 @@ class Net:
 
     def log10_all(self, texts: list[np.ndarray]) -> np.ndarray:
         """Normalised log10 probabilities of texts, over blocks of tokens: one matrix product and one exponential each."""
-        out, weights = np.zeros(len(texts)), np.vstack([self.out.T, self.bias]).astype(np.float32)
-        ones, most = np.ones(OUT, dtype=np.float32), np.abs(self.out).max(0)
+        out, weights, base = np.zeros(len(texts)), np.ascontiguousarray(self.out.T), np.exp(self.bias)
+        most = np.abs(self.out).max(0)
         for which, o, pos, begun in stretches(texts):
             h, _ = self.context(o, pos, begun)
             got = np.empty(len(o))
-            for lo in range(0, len(o), 256):
-                a = h[lo : lo + 256]
-                z = np.hstack([a, np.ones((len(a), 1), dtype=np.float32)]) @ weights
-                # no exponential overflows or vanishes while no logit can be far from 0
-                far = float((np.abs(a) @ most).max() + np.abs(self.bias).max()) > 60
+            # no exponential overflows or vanishes while no logit can be far from 0; then sum e^(z + b) = e^z . e^b
+            far = float((np.abs(h) @ most).max() + np.abs(self.bias).max()) > 60
+            for lo in range(0, len(o), 64):
+                a, z = o[lo : lo + 64], h[lo : lo + 64] @ weights
                 if far:
+                    z += self.bias
                     z -= z.max(1, keepdims=True)
-                t = z[np.arange(len(z)), o[lo : lo + 256]].astype(np.float64)
-                got[lo : lo + 256] = t - np.log((np.exp(z, out=z) @ ones).astype(np.float64))
+                t = z[np.arange(len(z)), a].astype(np.float64)
+                np.exp(z, out=z)
+                got[lo : lo + 64] = t - np.log(z.sum(1, dtype=np.float64)) if far else t + self.bias[a] - np.log((z @ base).astype(np.float64))
             out += np.bincount(which, weights=got, minlength=len(texts))
         return out / np.log(10)
 
@@ -245,12 +248,14 @@ class Trainer:
         net, n = self.net, len(o)
         h, share = net.context(o, pos, begun)
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(SHARED_NOISE)), OUT - 1)
-        own, other = net.out[o], net.out[noise]
-        s = np.einsum("ij,ij->i", h, own) + net.bias[o] - self.log_kq[o]
-        sx = h @ other.T
-        sx += net.bias[noise] - self.log_kq[noise]
+        own, other = net.out.take(o, axis=0), net.out[noise]
+        s = np.einsum("ij,ij->i", h, own) + (net.bias - self.log_kq)[o]
+        hx = np.empty((n, DIM + 1), dtype=np.float32)
+        hx[:, :DIM], hx[:, DIM] = h, 1
+        gx = hx @ -np.vstack([other.T, net.bias[noise] - self.log_kq[noise]])
         g = 1 / (1 + np.exp(np.clip(s, -30, 30)))
-        gx = np.exp(-np.clip(sx, -30, 30, out=sx), out=sx)
+        with np.errstate(over="ignore"):  # a probability of 0
+            np.exp(gx, out=gx)
         gx += 1
         np.divide(np.float32(-NOISE / SHARED_NOISE), gx, out=gx)
         dh = own * g[:, None]
@@ -258,26 +263,30 @@ class Trainer:
         # What each token's rows get: from the ORDER tokens after it, from all after it in its text, and as an outcome.
         place = pos - pos[0] if begun is not None else pos
         last = np.append(np.flatnonzero(place == 0)[1:] - 1, n - 1)
-        left = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(n)
+        last = np.repeat(last, np.diff(np.append(-1, last)))
         sums = np.cumsum(dh * share[:, None], axis=0)
-        parts = np.empty((n, ORDER + 2, DIM), dtype=np.float32)
-        for i in range(ORDER):
-            parts[: n - i - 1, i] = dh[i + 1 :]
-            parts[left <= i, i] = 0
-        parts[:, ORDER] = sums[np.arange(n) + left] - sums
-        parts[:, ORDER + 1] = h * g[:, None]
+        parts = np.zeros((3 * n + 1, DIM), dtype=np.float32)
+        parts[:n] = dh
+        np.subtract(sums.take(last, axis=0), sums, out=parts[n : 2 * n])
+        np.multiply(h, g[:, None], out=parts[2 * n : 3 * n])
         order = np.argsort(o.astype(np.int16), kind="stable")
         at = o[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        each = np.add.reduceat(parts.reshape(n, -1)[order], first, axis=0).reshape(len(first), ORDER + 2, DIM)
+        which = np.empty((n, ORDER + 2), dtype=np.int64)
+        for i in range(ORDER):
+            after = order + (i + 1)
+            which[:, i] = np.where(after <= last[order], after, 3 * n)
+        which[:, ORDER], which[:, ORDER + 1] = order + n, order + 2 * n
+        each = np.add.reduceat(parts.take(which, axis=0).reshape(n, -1), first, axis=0).reshape(len(first), ORDER + 2, DIM)
         d = Net(np.zeros(Net.SIZE, dtype=np.float32))
         for i in range(ORDER):
             d.near[i][at[first]] = each[:, i]
             if begun is None:
                 d.near[i][OUT] = dh[pos <= i].sum(0)
         d.far[at[first]], d.out[at[first]] = each[:, ORDER], each[:, ORDER + 1]
-        np.add.at(d.out, noise, gx.T @ h)
-        d.bias[:] = np.bincount(np.concatenate([o, noise]), weights=np.concatenate([g, gx.sum(0)]), minlength=OUT)
+        of_noise = gx.T @ hx
+        np.add.at(d.out, noise, of_noise[:, :DIM])
+        d.bias[:] = np.bincount(np.concatenate([o, noise]), weights=np.concatenate([g, of_noise[:, DIM]]), minlength=OUT)
         d = d.flat
         d /= np.float32(np.sqrt(n))
         self.squares.flat += d * d
