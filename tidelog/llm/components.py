@@ -29,17 +29,15 @@ def _is_forest(edges: DataFrame) -> bool:
     return per.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("root") == 0))).isEmpty()
 
 
-def star_forest(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def star_forest(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any ordered type -> edges (u, v), u > v, that connect the same nodes; each u below its component's least node.
 
-    Each round is written to the shared folder, and the files of the one before go. After ``rounds`` rounds, if given, the
-    result may not be a forest yet, but still connects what the edges connect, and may be carried on.
+    Each round is written to the shared folder, and the files of the one before go. A forest with more edges may be carried on.
     """
     cur = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while rounds != 0 and not _is_forest(cur):
+    while not _is_forest(cur):
         old, cur = cur, materialize(_star(_star(cur, True), False).distinct(), "edges")
         discard(old)
-        rounds = None if rounds is None else rounds - 1
         # Shuffle files go when their plans are collected, which a driver with little to do would not do for long.
         gc.collect()
         edges.sparkSession.sparkContext._jvm.System.gc()
@@ -47,7 +45,7 @@ def star_forest(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def roots_of(forest: DataFrame) -> DataFrame:
-    """(node, root) for every node of a star forest; of one that is not finished, a node that is connected with it."""
+    """(node, root) for every node of a star forest."""
     return forest.select("u", "v").union(forest.select("v", "v")).toDF("node", "root").groupBy("node").agg(F.min("root").alias("root"))
 
 

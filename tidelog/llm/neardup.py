@@ -304,8 +304,8 @@ def node_classes(keyed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     discard(pairs)
     failed = met.join(links.where(F.col("similarity") < threshold).select("centre", "node"), ["centre", "node"], "left_semi").select("k").distinct()
     sure = materialize(links.where(F.col("similarity") >= threshold), "edges")
-    # One round joins most of each class, and what it leaves apart only costs pairs; the rounds at the end carry it on.
-    begun = star_forest(sure.select(F.col("centre").alias("a"), F.col("node").alias("b")), 1)
+    # Whole classes, since the texts of a class that is in parts would all be paired below; the rounds at the end carry them on.
+    begun = star_forest(sure.select(F.col("centre").alias("a"), F.col("node").alias("b")))
     roots = roots_of(begun)
     residue = salted_join(crowd, failed, ["k"], "inner", 8).select("node").distinct()
     pairs = _possible(texts, residue.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), idf, threshold)
