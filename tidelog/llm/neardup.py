@@ -39,8 +39,8 @@ CELL_BITS, RARE, IDF_TOP = 18, 64, 1.5
 CELLS = 1 << CELL_BITS
 #: Bits of the map of texts to fetch; what rounding may add to a weight; parts of a text's weight.
 MATE_BITS, SLACK, SKETCH = 1 << 25, 1e-5, 48
-#: Pairs of one centre that meet in one task.
-FAN = 200
+#: Pairs of one centre that meet in one task; shingles that every task may know.
+FAN, HOT = 200, 4096
 _rng = np.random.default_rng(1)
 _WORD = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -257,7 +257,11 @@ def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold:
     """
     named = materialize(texts.join(classes, "node").withColumn("n", F.monotonically_increasing_id()), "residue")
     rows = materialize(_weights(named, idf), "weights")
-    common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    common = materialize(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    # At most HOT shingles are in more than 1 / HOT of the rows; those are known to every task, the rows of others are dealt by shingle.
+    hot = F.col("df") * HOT > rows.count()
+    often = F.broadcast(common.where(hot))
+    counted = rows.join(often, "h").unionByName(rows.join(often.select("h"), "h", "left_anti").join(common.where(~hot), "h"))
     part = F.pmod("h", F.lit(SKETCH))
     sketch = F.array(*[F.sum(F.when(part == i, F.col("w")).otherwise(0.0)) for i in range(SKETCH)])
     total = materialize(rows.groupBy("n").agg(F.sum("w").alias("total"), sketch.cast("array<float>").alias("sketch")), "totals")
@@ -265,10 +269,11 @@ def _possible(texts: DataFrame, classes: DataFrame, idf: np.ndarray, threshold:
     order = Window.partitionBy("n").orderBy(F.desc("df"), F.desc("h"))
     left = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
     info = named.select("n", "node", "root").join(total.drop("sketch"), "n")
-    first = salted_join(rows, common, ["h"], "inner", 8).withColumn("left", left).select("n", "h", "left").join(info, "n")
+    first = counted.withColumn("left", left).select("n", "h", "left").join(info, "n")
     # left: the weight from this shingle on. A row is of use if it can be the first common one of some pair.
     first = materialize(first.where(F.col("left") >= threshold * F.col("total") * (1 - SLACK)).select("h", "node", "root", "total", "left"), "prefixes")
-    discard(rows)
+    for done in (rows, common):
+        discard(done)
     sizes = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
     sketches = named.select("n", "node").join(total.select("n", "sketch"), "n").drop("n")
     mixed = materialize(salted_join(first, sizes.select("h", "main"), ["h"], "inner", 8).join(sketches, "node"), "mixed")
