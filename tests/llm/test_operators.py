@@ -356,7 +356,9 @@ def test_decontamination_of_long_texts_and_short_items(spark):
     assert got == {1: (13, False, [(5000, 5013)]), 2: (2, False, [(5012, 5014)]), 3: (2, True, [(0, 2)])}
 
 
-def test_language_model_sums_to_one_and_matches_counts(spark, docs):
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 16])
+def test_language_model_sums_to_one_and_matches_counts(spark, docs, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)  # 16: most words are counted by their hash
     base = docs.select("doc_id", "text")
     counts = lm.word_counts(base).persist()
     v = lm.Vocabulary(counts)

@@ -36,7 +36,7 @@ END, REST = 0, OUT - 1
 ROUNDS, RATE, NOISE, SHARED_NOISE = 2, 0.15, 10, 96
 #: Tokens that are learned from or scored together, at least; a longer text than STRETCH goes in stretches, which know what came before.
 BATCH, STRETCH = 2048, 1 << 15
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Longer words are known by a digest.
 LONG = 48
 #: Words a task counts before it hands on what it has.
@@ -294,6 +294,12 @@ class Trainer:
         self.tokens += n
 
 
+def numbered(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """``keep`` columns, text and a number of each row, and the names of all but the text. Write it before the number is used twice."""
+    rid = fresh(keep, "rid")
+    return docs.select(*keep, "text").withColumn(rid, F.monotonically_increasing_id()), [*keep, rid]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
     """``keep`` columns; each text's outcomes (little-endian u16, with the end); counts and base terms of frequent words; hashes of the others."""
     words = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -358,11 +364,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Net:
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Net, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score."""
-    return score_encoded(materialize(encode(docs, vocabulary, keep), "read"), counts, vocabulary, net, keep)
+    rows, names = numbered(docs, keep)
+    return score_encoded(materialize(encode(rows, vocabulary, names), "read"), counts, vocabulary, net, keep)
 
 
 def score_encoded(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Net, keep: list[str]) -> DataFrame:
-    """The same, of what ``encode`` made."""
+    """The same, of what ``encode`` made of ``numbered`` rows, written."""
     params = encoded.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches):
@@ -371,14 +378,15 @@ def score_encoded(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
             model = net.log10_all(_outcomes(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model, pa.float64())], [*b.schema.names[:-1], "model"])
 
-    rid = fresh(encoded.columns, "rid")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "codes")
-    read = materialize(encoded.mapInArrow(run, f"{kinds}, model double").withColumn(rid, F.monotonically_increasing_id()), "scored")
+    rid = fresh(keep, "rid")
+    passed = encoded.drop("rare")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema.fields if f.name != "codes")
+    read = passed.mapInArrow(run, f"{kinds}, model double")
     seldom = counts.where(F.col("c") * FREQUENT < vocabulary.n).select(F.xxhash64("word").alias("w"), F.log10(F.col("c") + 1.0).alias("x"))
-    rare = read.select(rid, F.explode("rare").alias("w")).join(seldom, "w").groupBy(rid).agg(F.sum("x").alias("x"), F.count("*").alias("k"))
+    rare = encoded.select(rid, F.explode("rare").alias("w")).join(seldom, "w").groupBy(rid).agg(F.sum("x").alias("x"), F.count("*").alias("k"))
     norm = float(np.log10(vocabulary.n + vocabulary.v + 1))
     x = F.coalesce("x", F.lit(0.0))
-    return read.drop("rare").join(rare, rid, "left").select(
+    return read.join(rare, rid, "left").select(
         *keep,
         "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
@@ -392,5 +400,7 @@ def op4_language_model(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_crc("doc_id") % 7 == 2)
     counts = materialize(word_counts(docs.where("NOT held_out")), "counts")
     vocabulary = Vocabulary(counts)
-    encoded = materialize(encode(docs, vocabulary, ["doc_id", "held_out"]), "encoded")
-    return score_encoded(encoded, counts, vocabulary, fit(encoded.where("NOT held_out"), vocabulary), ["doc_id", "held_out"])
+    keep = ["doc_id", "held_out"]
+    rows, names = numbered(docs, keep)
+    encoded = materialize(encode(rows, vocabulary, names), "encoded")
+    return score_encoded(encoded, counts, vocabulary, fit(encoded.where("NOT held_out"), vocabulary), keep)
