@@ -379,6 +379,21 @@ def test_language_model_sums_to_one_and_matches_counts(spark, docs, monkeypatch,
     assert np.allclose(sorted(zip(got["n_tokens"], got["base_score"], strict=True)), want) and (got["n_known"] == got["n_tokens"]).all()
 
 
+def test_language_model_edge_cases(spark):
+    texts = [None, "", "  ", "a b", "a b", "the cat sat " * 15_000]
+    rows = spark.createDataFrame([(i, "k", t, "x", None) for i, t in enumerate(texts)], "known long, codes string, text string, rare string, `w.x` string")
+    names = ["known", "codes", "rare", "w.x"]
+    nothing = rows.limit(0)
+    counts = lm.word_counts(nothing)
+    v = lm.Vocabulary(counts)
+    net = lm.train(nothing, v)
+    got = lm.score(rows, counts, v, net, names).toPandas().sort_values("known")
+    lengths = np.array([1, 1, 1, 3, 3, 45_001])
+    assert list(got.columns[:4]) == names and (got["n_tokens"] == lengths).all() and (got["n_known"] == 0).all() and (got["train_tokens"] == 0).all()
+    assert np.allclose(got["score"], -lengths * np.log10(lm.OUT), rtol=1e-4) and np.allclose(got["base_score"], 0)
+    assert lm.score(nothing, counts, v, net, names).count() == 0
+
+
 def test_language_model_batches_are_whole_texts(monkeypatch):
     """Texts scored together, and long ones in stretches, get the context of their own text and nothing else's."""
     rng = np.random.default_rng(8)

@@ -16,7 +16,8 @@ Words that make up 1 / FREQUENT of all tokens or more (at most FREQUENT of them)
 others are joined by their 64-bit hash, which tells words apart but for one pair in 10^19.
 
 Edge cases: null and empty texts are one end token; repeated rows each get a row and train each; null ids count as the empty text
-in the split. Without training rows the model is uniform over its outcomes. An empty table gives an empty result.
+in the split. Without training rows the model is uniform over its outcomes. An empty table gives an empty result. Columns to
+keep may have any name.
 """
 
 from __future__ import annotations
@@ -351,6 +352,9 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary) -> Net:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(Net.SIZE), pa.int32()), pa.array(t.net.flat.astype(np.float64) * t.tokens), pa.array(np.full(Net.SIZE, float(t.tokens)))], ["i", "x", "n"])
 
         mixed = encoded.select("codes").mapInArrow(lambda batches, f=run: f(batches), "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        if mixed.empty:  # nothing to learn from
+            net.near[:], net.far[:], net.out[:] = 0, 0, 0
+            return net
         flat = net.flat.copy()
         flat[mixed["i"].to_numpy(dtype=int)] = mixed["x"].to_numpy()
         net = Net(flat)
@@ -364,8 +368,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Net:
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Net, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score."""
-    rows, names = numbered(docs, keep)
-    return score_encoded(materialize(encode(rows, vocabulary, names), "read"), counts, vocabulary, net, keep)
+    plain = [f"__{i}" for i in range(len(keep))]  # no name can clash with one in between
+    rows, names = numbered(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, plain, strict=True)], "text"), plain)
+    got = score_encoded(materialize(encode(rows, vocabulary, names), "read"), counts, vocabulary, net, plain)
+    return got.toDF(*keep, *got.columns[len(keep) :])
 
 
 def score_encoded(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Net, keep: list[str]) -> DataFrame:
