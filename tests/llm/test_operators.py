@@ -215,6 +215,16 @@ def test_packing(docs, empty):
     assert sum(m for m, _ in runs) <= 1.02 * -(-sum(x * n for x, n in histogram.items()) // 4096)
 
 
+def test_packing_keeps_any_columns_and_repeated_rows(spark):
+    rows = [(i if i % 5 else None, 0, 0, 1 + i % 7, i, "b", "n", "x") for i in range(60)] * 2
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, `__b` long, `__n` string, `__rank` string, `l.x` string")
+    got = packing.pack(pieces, limit=10).toPandas()
+    assert list(got.columns) == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted(got["__b"]) == sorted(r[4] for r in rows) and (got["length"] == 1 + got["__b"] % 7).all() and (got["l.x"] == "x").all()
+    for _, places in got.sort_values("offset").groupby("sequence_id"):
+        assert list(places["offset"]) == [0, *places["length"].cumsum()[:-1]] and places["length"].sum() <= 10
+
+
 def test_language(spark, docs, empty):
     learn = spark.createDataFrame([(("the house and the garden " if k % 2 else "la maison et le jardin ") * 3 + str(k), "en" if k % 2 else "fr") for k in range(40)], "text string, lang string")
     model = language.train(learn)

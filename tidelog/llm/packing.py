@@ -194,9 +194,17 @@ def _places(runs: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     }
 
 
+#: Columns of a piece.
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...). ``pieces`` must be materialised: it is read three times."""
-    spark = pieces.sparkSession
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...). ``pieces`` must be materialised: it is read three times.
+
+    Further columns may have any name.
+    """
+    spark, given = pieces.sparkSession, pieces.columns
+    pieces = pieces.toDF(*[c if c in PIECE else f"__{i}" for i, c in enumerate(given)])  # no name can clash with those added here
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     per = materialize(keyed.groupBy("length", "__b").agg(F.count("*").alias("__n")), "lengths")
@@ -205,10 +213,10 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     shared = spark.sparkContext.broadcast(places)
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__b")) - F.col("__n")
     first = per.withColumn("__before", before).drop("__n")
-    order = Window.partitionBy("length", "__b").orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns])
+    order = Window.partitionBy("length", "__b").orderBy(*[c for c in PIECE if c in pieces.columns])
     ranked = keyed.withColumn("__r", F.row_number().over(order)).join(first, ["length", "__b"]).withColumn("__rank", F.col("__before") + F.col("__r") - 1)
 
-    names = [*pieces.columns, "sequence_id", "offset"]
+    names = [*pieces.columns, "__sequence", "__offset"]
 
     def run(batches):
         t = shared.value
@@ -222,7 +230,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     src = ranked.select(*pieces.columns, F.col("length").alias("__length"), "__rank")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return src.mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
+    return src.mapInArrow(run, f"{kinds}, __sequence bigint, __offset bigint").toDF(*given, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
