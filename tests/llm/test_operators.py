@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelog.llm import decontaminate, language, lm, neardup, neighbours, packing, pii, sstable, tokens, toxicity, urls
@@ -53,6 +54,44 @@ def test_keep_one_keeps_rows_not_ids(spark):
     assert kept == [("", 8), ("", 8), ("r", 7), ("s", 1), ("u", 5), ("v", 0)]
 
 
+def shuffled_since(spark, stage):
+    """(the last stage's number, bytes of shuffle written by the stages after ``stage``), of those that Spark still lists."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    nothing = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(nothing, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), nothing)
+    seen = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())]
+    return max([stage, *(n for n, _ in seen)]), sum(b for n, b in seen if n > stage)
+
+
+def test_keep_one_shuffles_no_text_that_stays(spark):
+    """Texts without copies are not shuffled, when no table is small enough to broadcast either."""
+    rng = np.random.default_rng(61)
+    texts = [" ".join(rng.bytes(100).hex() for _ in range(100)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:5]])], "doc_id long, text string").repartition(4).cache()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs.count()
+        before, _ = shuffled_since(spark, -1)
+        assert sorted(r["doc_id"] for r in neardup.keep_one(docs).select("doc_id", F.length("text")).collect()) == list(range(300))
+        assert 0 < shuffled_since(spark, before)[1] < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        docs.unpersist()
+
+
+@pytest.mark.parametrize("bits", [64, 128])
+def test_keep_one_does_not_depend_on_its_bitmap(spark, monkeypatch, bits):
+    """With a bitmap so small that rows share its bits, only the join by doc_id and text decides: null ids and texts, repeated rows, copies."""
+    monkeypatch.setattr(neardup, "MATE_BITS", bits)
+    texts = [prose(200 + i, 40) for i in range(120)]
+    rows = [*enumerate(texts), *[(1000 + i, t) for i, t in enumerate(texts[:40])], *[(i, texts[i]) for i in range(50, 70)], *[(None, t) for t in texts[30:45]], *[(None, "alone " + prose(400, 40))] * 3, (7, "other " + prose(401, 40)), (8, None), (8, None), (9, "")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [*enumerate(texts), (None, rows[-5][1]), (7, rows[-4][1]), (8, None), (8, None), (9, "")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_icws_estimates_weighted_jaccard():
     a, b = neardup.shingles(prose(5, 400).encode()), neardup.shingles((prose(5, 360) + " " + prose(6, 40)).encode())
     idf = np.full(neardup.CELLS, 1.5, dtype=np.float32)

@@ -27,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import discard, materialize, salted_join, table, words_of
@@ -37,7 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 CELL_BITS, RARE, IDF_TOP = 18, 64, 1.5
 CELLS = 1 << CELL_BITS
-#: Bits of the map of texts to fetch; what rounding may add to a weight; parts of a text's weight.
+#: Bits of the map of rows to fetch or to judge; what rounding may add to a weight; parts of a text's weight.
 MATE_BITS, SLACK, SKETCH = 1 << 25, 1e-5, 48
 #: Pairs of one centre that meet in one task; shingles that every task may know.
 FAN, HOT = 200, 4096
@@ -186,23 +186,27 @@ def _star(rows: DataFrame) -> DataFrame:
     return materialize(salted_join(rows.select("k", "node"), centres, ["k"], "inner", 8).where("node <> centre"), "met")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted (doc_id, node). A bitmap of fixed size lets only their rows, and few others, reach the join."""
+def _may_be_in(wanted: DataFrame) -> Column:
+    """Whether a row's (doc_id, node) may be among the wanted ones, by a bitmap of fixed size: true for all that are, and for few others."""
     cell = F.pmod(F.xxhash64("doc_id", "node"), F.lit(MATE_BITS))
     set_ = wanted.groupBy((cell / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))).alias("v")).toPandas()
     bits = np.zeros(MATE_BITS // 64, dtype=np.int64)
     bits[set_["w"].to_numpy(dtype=int)] = set_["v"].to_numpy(dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
 
-    def run(batches):
-        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
-        for b in batches:
-            c = b.column(3).to_numpy()
-            yield b.filter(pa.array(((bitmap[c >> 3] >> (c & 7).astype(np.uint8)) & 1).astype(bool)))
+    @F.arrow_udf("boolean")
+    def is_set(cells: pa.Array) -> pa.Array:
+        bitmap, c = np.frombuffer(shared.value, dtype=np.uint8), cells.to_numpy()
+        return pa.array(((bitmap[c >> 3] >> (c & 7).astype(np.uint8)) & 1).astype(bool))
 
-    src = docs.select("doc_id", "node", "text", cell.alias("cell"))
-    near = src.mapInArrow(run, src.schema)
-    return materialize(near.join(wanted, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    return is_set(cell)
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (doc_id, node), one doc_id for each node. Only their rows, and few others, reach the join."""
+    near = docs.select("doc_id", "node", "text").where(_may_be_in(wanted)).join(wanted, ["doc_id", "node"], "left_semi")
+    # By the keys of the join, so that the texts are not shuffled once more.
+    return materialize(near.dropDuplicates(["doc_id", "node"]).select("node", "text"), "texts")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -357,11 +361,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = marked.groupBy("class_id").agg(F.min("order").alias("first"))
     judged = salted_join(marked, first, ["class_id"], "inner", 8).select("doc_id", "node", "n", (F.col("order") == F.col("first")).alias("stays"))
     judged = materialize(judged.withColumn("stays", F.coalesce("stays", F.lit(True))).where("NOT stays OR n > 1"), "judged")
-    same = lambda x: rows["node"].eqNullSafe(x["node"]) & rows["doc_id"].eqNullSafe(x["doc_id"])
-    kept = rows.join(judged, same(judged), "left_anti").select(*names)
+    # Most rows stay as they are: only those that may be judged are shuffled, with their texts.
+    maybe = _may_be_in(judged)
+    doubtful = rows.where(maybe)
+    same = lambda x: doubtful["node"].eqNullSafe(x["node"]) & doubtful["doc_id"].eqNullSafe(x["doc_id"])
+    kept = rows.where(~maybe).select(*names).unionByName(doubtful.join(judged, same(judged), "left_anti").select(*names))
     repeated = judged.where("stays")
     if not repeated.isEmpty():
-        one = rows.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "node").agg(F.first(F.struct(*names)).alias("row"))
+        one = doubtful.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "node").agg(F.first(F.struct(*names)).alias("row"))
         kept = kept.unionByName(one.select("row.*"))
     return kept.select(*names).toDF(*docs.columns)
 
