@@ -2,7 +2,10 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -490,6 +493,39 @@ def test_language_model_learns(monkeypatch):
     assert t.net.log10_all([o])[0] > first + 5
 
 
+def test_language_model_training_reuses_memory():
+    """Steps after the first few ask the system for next to no new pages, in a process of their own."""
+    code = """
+import resource
+import numpy as np
+from tidelog.llm import lm
+q = np.full(lm.OUT, 1 / lm.OUT)
+t, o = lm.Trainer(lm.Net.start(q), q, 1), np.random.default_rng(2).integers(0, lm.OUT, 2400)
+for i in range(30):
+    if i == 10:
+        start = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    t.learn(o, np.arange(2400) % 400)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - start) / 20)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=Path(lm.__file__).parents[2])
+    assert float(out.stdout.split()[-1]) < 60
+
+
+def test_language_model_sums_in_pairs_and_far_logits():
+    rng = np.random.default_rng(9)
+    for kind in (np.float32, np.float64):
+        x = rng.standard_normal((50, lm.DIM)).astype(kind)
+        assert np.array_equal(lm.running_sum(x.copy()), np.cumsum(x, axis=0))
+    x, first = rng.standard_normal((50, 6 * lm.DIM)).astype(np.float32), np.array([0, 1, 7, 49])
+    assert np.allclose(lm.sums_from(x, first), np.add.reduceat(x, first, axis=0), atol=1e-5)
+    net = lm.Net((rng.standard_normal(lm.Net.SIZE) * 3).astype(np.float32))  # logits of hundreds
+    o = rng.integers(0, lm.OUT, 150)
+    z = (net.context(o, np.arange(150))[0].astype(float) @ net.out.T + net.bias).astype(float)
+    top = z.max(1)
+    want = z[np.arange(150), o] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    assert top.max() > 100 and np.isclose(net.log10_all([o])[0], want.sum() / np.log(10), rtol=1e-5)
+
+
 def test_language_model_trains_on_every_text(spark):
     """A single training text, whichever it is, moves the model away from its start."""
     for i in range(4):

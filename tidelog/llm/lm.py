@@ -23,6 +23,7 @@ keep may have any name.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,34 @@ ROUNDS, RATE, NOISE, SHARED_NOISE = 2, 0.15, 10, 96
 #: Tokens that are learned from or scored together, at least; a longer text than STRETCH goes in stretches, which know what came before.
 BATCH, STRETCH = 2048, 1 << 15
 FREQUENT = 1 << 20
+#: Tokens whose outcomes are weighed at once: the block stays in a core's cache.
+BLOCK = 64
 #: Longer words are known by a digest.
 LONG = 48
 #: Words a task counts before it hands on what it has.
 HELD_WORDS = 400_000
+#: Bytes below which an array's memory stays with the process (see ``keep_heap``); the allocator follows up to 2^25.
+HEAP = 1 << 24
+
+
+def keep_heap() -> None:
+    """Memory of freed arrays stays with the process, 2 * HEAP at most. Otherwise each batch gives it back and faults in new pages.
+
+    glibc maps no block smaller than the largest mapped one that was freed, and trims from twice that size on. No page of this one is touched.
+    """
+    np.empty(HEAP, dtype=np.uint8)
+
+
+def running_sum(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows so far, in place. Columns go in pairs, as complex numbers, which takes half the steps."""
+    pairs = x.view(np.complex64 if x.dtype == np.float32 else np.complex128)
+    np.add.accumulate(pairs, axis=0, out=pairs)
+    return x
+
+
+def sums_from(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of float32 rows from each of ``first`` up to the next, columns in pairs."""
+    return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32)
 
 
 def tokens_of(raw: bytes | None) -> list[bytes]:
@@ -121,7 +146,7 @@ class Vocabulary:
 
     def read(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in frequent (-1 if not there), outcomes with the end, and the positions of words not there."""
-        place = np.fromiter((self.frequent.get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
+        place = np.fromiter(map(self.frequent.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
         out = np.empty(len(ws) + 1, dtype=np.int64)
         out[-1] = END
         rare = np.flatnonzero(place < 0)
@@ -167,8 +192,7 @@ class Net:
             h = row if i == 0 else np.add(h, row, out=h)
         share = (1 / np.maximum(pos, 1)).astype(np.float32)
         row = self.far.take(o, axis=0)
-        past = row.astype(np.float64)
-        np.add.accumulate(past, axis=0, out=past)
+        past = running_sum(row.astype(np.float64))
         past -= row
         past -= past.take(np.maximum(np.arange(n) - (pos - pos[0] if begun else pos), 0), axis=0)
         if begun is not None:
@@ -184,20 +208,25 @@ class Net:
     def log10_all(self, texts: list[np.ndarray]) -> np.ndarray:
         """Normalised log10 probabilities of texts, over blocks of tokens: one matrix product and one exponential each."""
         out, weights, base = np.zeros(len(texts)), np.ascontiguousarray(self.out.T), np.exp(self.bias)
-        most = np.abs(self.out).max(0)
+        most, block = np.abs(self.out).max(0), np.empty((BLOCK, OUT), dtype=np.float32)
         for which, o, pos, begun in stretches(texts):
             h, _ = self.context(o, pos, begun)
-            got = np.empty(len(o))
+            sums, tops = np.empty(len(o)), np.zeros(len(o), dtype=np.float32)
             # no exponential overflows or vanishes while no logit can be far from 0; then sum e^(z + b) = e^z . e^b
             far = float((np.abs(h) @ most).max() + np.abs(self.bias).max()) > 60
-            for lo in range(0, len(o), 64):
-                a, z = o[lo : lo + 64], h[lo : lo + 64] @ weights
+            for lo in range(0, len(o), BLOCK):
+                part = h[lo : lo + BLOCK]
+                z = np.matmul(part, weights, out=block[: len(part)])
                 if far:
                     z += self.bias
-                    z -= z.max(1, keepdims=True)
-                t = z[np.arange(len(z)), a].astype(np.float64)
+                    tops[lo : lo + BLOCK] = z.max(1)
+                    z -= tops[lo : lo + BLOCK, None]
                 np.exp(z, out=z)
-                got[lo : lo + 64] = t - np.log(z.sum(1, dtype=np.float64)) if far else t + self.bias[a] - np.log((z @ base).astype(np.float64))
+                sums[lo : lo + BLOCK] = z.sum(1, dtype=np.float64) if far else z @ base
+            got = np.einsum("ij,ij->i", h, self.out.take(o, axis=0)).astype(np.float64)
+            got += self.bias[o]
+            got -= tops
+            got -= np.log(sums)
             out += np.bincount(which, weights=got, minlength=len(texts))
         return out / np.log(10)
 
@@ -240,6 +269,7 @@ def _together(texts: list[np.ndarray], held: list[int]):
 
 class Trainer:
     def __init__(self, net: Net, q: np.ndarray, seed: int):
+        keep_heap()
         self.net, self.rng = net, np.random.default_rng(seed)
         self.cum, self.log_kq = np.cumsum(q), np.log(NOISE * q).astype(np.float32)
         self.squares, self.tokens = Net(np.full(Net.SIZE, 1e-2, dtype=np.float32)), 0
@@ -265,7 +295,7 @@ class Trainer:
         place = pos - pos[0] if begun is not None else pos
         last = np.append(np.flatnonzero(place == 0)[1:] - 1, n - 1)
         last = np.repeat(last, np.diff(np.append(-1, last)))
-        sums = np.cumsum(dh * share[:, None], axis=0)
+        sums = running_sum(dh * share[:, None])
         parts = np.zeros((3 * n + 1, DIM), dtype=np.float32)
         parts[:n] = dh
         np.subtract(sums.take(last, axis=0), sums, out=parts[n : 2 * n])
@@ -273,17 +303,18 @@ class Trainer:
         order = np.argsort(o.astype(np.int16), kind="stable")
         at = o[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        which = np.empty((n, ORDER + 2), dtype=np.int64)
+        which, end = np.empty((n, ORDER + 2), dtype=np.int64), last[order]
         for i in range(ORDER):
             after = order + (i + 1)
-            which[:, i] = np.where(after <= last[order], after, 3 * n)
+            which[:, i] = np.where(after <= end, after, 3 * n)
         which[:, ORDER], which[:, ORDER + 1] = order + n, order + 2 * n
-        each = np.add.reduceat(parts.take(which, axis=0).reshape(n, -1), first, axis=0).reshape(len(first), ORDER + 2, DIM)
+        each = sums_from(parts.take(which, axis=0).reshape(n, -1), first).reshape(len(first), ORDER + 2, DIM)
         d = Net(np.zeros(Net.SIZE, dtype=np.float32))
+        early = np.flatnonzero(pos < ORDER)
         for i in range(ORDER):
             d.near[i][at[first]] = each[:, i]
             if begun is None:
-                d.near[i][OUT] = dh[pos <= i].sum(0)
+                d.near[i][OUT] = dh[early[pos[early] <= i]].sum(0)
         d.far[at[first]], d.out[at[first]] = each[:, ORDER], each[:, ORDER + 1]
         of_noise = gx.T @ hx
         np.add.at(d.out, noise, of_noise[:, :DIM])
@@ -308,6 +339,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFram
     def run(batches):
         import xxhash
 
+        keep_heap()
         v = words.value
         h64, end = xxhash.xxh64_intdigest, np.log10(v.end_count + 1)
         for b in batches:
@@ -379,6 +411,7 @@ def score_encoded(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
     params = encoded.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches):
+        keep_heap()
         net = Net(params.value)
         for b in batches:
             model = net.log10_all(_outcomes(b.column(b.num_columns - 1)))
