@@ -246,3 +246,62 @@ def test_compaction_forms_agree(spark, rows):
         a = compaction.compact(log, 200, d).select("key", "seq", "kind").collect()
         b = compaction.mark(log, 200, d).where("reason IS NULL").select("key", "seq", "kind").collect()
         assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_tables_are_ranges_of_few_files(spark, tmp_path):
+    """A compaction writes no more files than tasks, however small its tables; rows of tables that are gone are not read."""
+    folder, rng, want = tmp_path / "db", random.Random(3), {}
+    s = KVStore.open(spark, f"file://{folder}", Options(max_file_size=512, write_buffer_size=1 << 30, level0_trigger=2))
+    for turn in range(2):
+        batch = WriteBatch()
+        for i in range(3000):
+            want[b"%05d" % i] = b"%d" % turn
+            batch.add(b"%05d" % i, want[b"%05d" % i])
+        s.write(batch)
+        s.maintain()
+    s.compact_range()
+    assert sum(p.suffix == ".ldb" for p in folder.iterdir()) <= 4 and len(s.files) >= 60
+    assert max(f["size"] for f in s.files) <= 512 + 14 and sum(f["entries"] for f in s.files) == len(want)
+    assert s.files_df().transform(compaction.overlaps).first()["overlaps"] == 0
+    # Parts of the tables are deleted, and the deletions compacted away with them: their rows are still in the folders.
+    gone = [*range(100, 900), *range(1500, 1510), *range(2900, 3000)]
+    for a, b in ((0, 800), (800, 810), (810, 910)):
+        batch = WriteBatch()
+        for i in gone[a:b]:
+            batch.delete(b"%05d" % i)
+            del want[b"%05d" % i]
+        s.write(batch)
+        s._make_room()
+        s.compact_range(b"%05d" % gone[a], b"%05d" % gone[b - 1])
+    s.close()
+    s = KVStore.open(spark, f"file://{folder}", s.options)
+    assert pairs(s.scan()) == want and s.get(b"00500") is None and s.get(b"00999") == b"1" and s.log_df().count() == len(want)
+    assert pairs(s.scan(b"00850", b"01505")) == {k: v for k, v in want.items() if b"00850" <= k <= b"01505"}
+
+
+def test_moves_are_one_edit(spark, tmp_path, monkeypatch):
+    """Tables that move down without being rewritten cost one edit together, and go where they went one by one."""
+    s = KVStore.open(spark, f"file://{tmp_path}/db")
+    tables = [{"level": 1, "file_id": 10 + i, "size": 1 << 20, "smallest_key": b"%03d" % i, "largest_key": b"%03d" % i, "entries": 1, "folder": 10 + i, "place": 0, "of": 1} for i in range(50)]
+    s.files, edits = list(tables), []
+    monkeypatch.setattr(s, "_commit", lambda: edits.append(1))
+    while s.maintain():
+        pass
+    # Level 1 asks for a compaction from 10 MiB on.
+    assert len(edits) == 1 and sorted(f["file_id"] for f in s.files if f["level"] == 1) == list(range(51, 60)) and len(s.files) == 50
+
+
+def test_overlaps_are_counted_pair_by_pair(spark):
+    rng = random.Random(9)
+    spans = [(rng.randrange(1, 3), *sorted((rng.randrange(60), rng.randrange(60)))) for _ in range(80)]
+    files = spark.createDataFrame([(level, bytearray([a]), bytearray([b])) for level, a, b in spans], "level int, smallest_key binary, largest_key binary")
+    want = sum(x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2] for i, x in enumerate(spans) for y in spans[i + 1 :])
+    assert compaction.overlaps(files).first()["overlaps"] == want
+
+
+def test_tables_end_at_bounds(spark):
+    rows = spark.createDataFrame([("f", bytearray([k]), s, 1, bytearray(b"v")) for k in range(40) for s in (1, 2)], f"file_id string, {KV_LOG}")
+    bounds = [bytes([k]) for k in (4, 5, 17, 39)]
+    got = compaction.cut_tables(rows, "file_id", 100, bounds).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(len(got))) and sum(r["entries"] for r in got) == 80
+    assert all(not r["smallest_key"][0] <= b[0] < r["largest_key"][0] for r in got for b in bounds) and max(r["size"] for r in got) <= 120

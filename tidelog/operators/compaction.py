@@ -6,6 +6,7 @@ file covers its key. The newer row is looked up among all input rows, dropped on
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,6 +65,60 @@ def file_meta(log: DataFrame, file_id: str = "file_id", level: str = "level") ->
     return agg.select("level", "file_id", "size", F.col("lo.key").alias("smallest_key"), (-F.col("lo.s")).alias("smallest_seq"), F.col("hi.key").alias("largest_key"), (-F.col("hi.s")).alias("largest_seq"), seek_budget(F.col("size")).alias("allowed_seeks"), "entries")
 
 
+def cut_tables(rows: DataFrame, file_id: str, most: int | None, bounds: list[bytes] = ()) -> DataFrame:
+    """Tables of files whose rows are sorted by key: file_id, place in the file (from 0), size, smallest_key, largest_key, entries.
+
+    A table ends at every multiple of ``most`` bytes, with the key that reaches it, and at every bound (``most`` None: one table a file).
+    Keys are not split, and are added up before the running sums, so that versions of one key are no single task's work.
+    """
+    size = F.sum(F.octet_length("key") + F.lit(8) + F.coalesce(F.octet_length("value"), F.lit(0))).cast("bigint").alias("size")
+    if most is None:
+        tables = rows.groupBy(F.col(file_id).alias("file_id")).agg(size, F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.count("*").alias("entries"))
+        return tables.select("file_id", F.lit(0).alias("place"), "size", "smallest_key", "largest_key", "entries")
+    keys = rows.groupBy(F.col(file_id).alias("file_id"), "key").agg(size, F.count("*").alias("entries"))
+    keys = keys.withColumn("__cut", place(list(bounds), "binary", F.col("key"), before=True))
+    before = F.sum("size").over(Window.partitionBy("file_id", "__cut").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    keys = keys.withColumn("__slice", F.floor(F.coalesce(before, F.lit(0)) / most))
+    tables = keys.groupBy("file_id", "__cut", "__slice").agg(F.sum("size").alias("size"), F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.sum("entries").alias("entries"))
+    order = Window.partitionBy("file_id").orderBy("smallest_key")
+    return tables.select("file_id", (F.row_number().over(order) - 1).alias("place"), "size", "smallest_key", "largest_key", "entries")
+
+
+def place(sorted_values: list, kind: str, c: Column, before: bool = False) -> Column:
+    """How many of ``sorted_values`` are at or before ``c`` (``before``: only those before it): a binary search in a literal array.
+
+    ``kind``: binary, or file (pairs of a number and a key, by ``struct(file, key)``).
+    """
+    n = len(sorted_values)
+    if not n:
+        return F.lit(0)
+    literal = {"binary": lambda v: f"X'{v.hex()}'", "file": lambda v: f"struct({v[0]}L AS file, X'{v[1].hex()}' AS key)"}[kind]
+    values = F.expr(f"array({', '.join(map(literal, sorted_values))})")
+
+    def step(at, _):
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        value = F.get(values, middle)
+        right = value < c if before else value <= c
+        on = F.when(right, F.struct((middle + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), middle.alias("hi")))
+        return F.when(at["lo"] < at["hi"], on).otherwise(at)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.array_repeat(F.lit(0), n.bit_length() + 1), start, step, lambda at: at["lo"])
+
+
+def overlaps(files: DataFrame) -> DataFrame:
+    """overlaps: pairs of tables of one level below the first whose key ranges meet, by one sort and not pair by pair.
+
+    Of tables in order of their smallest key, each meets all before it but those that end before it starts.
+    """
+    ends = files.where("level > 0").select("level", F.explode(F.array(F.struct(F.col("smallest_key").alias("key"), F.lit(0).alias("end")), F.struct(F.col("largest_key").alias("key"), F.lit(1).alias("end")))).alias("e")).select("level", "e.*")
+    # At the same key starts come first: tables that share one key meet.
+    order = Window.partitionBy("level").orderBy("key", "end").rowsBetween(Window.unboundedPreceding, -1)
+    open_now = F.sum(F.when(F.col("end") == 0, 1).otherwise(-1)).over(order)
+    met = ends.withColumn("__open", F.coalesce(open_now, F.lit(0))).where("end = 0")
+    return met.agg(F.coalesce(F.sum("__open"), F.lit(0)).cast("bigint").alias("overlaps"))
+
+
 def seek_budget(size: Column) -> Column:
     return F.greatest(F.floor(size / 16384), F.lit(100)).cast("bigint")
 
@@ -134,19 +189,40 @@ class Plan:
 
 
 class Picker:
-    """Decisions over the file list (metadata, held by the driver like any manifest)."""
+    """Decisions over the file list (metadata, held by the driver like any manifest). Each level is sorted once; below the first its files
+    are disjoint, so that those of a range are found by bisection."""
 
     def __init__(self, files: list, max_file_size: int = 2 << 20, level0_trigger: int = 4):
         self.files, self.max_file, self.trigger = files, max_file_size, level0_trigger
+        self._levels: list[list] = [[] for _ in range(LEVELS)]
+        for f in sorted(files, key=self._order):
+            self._levels[f["level"]].append(f)
+        self._bytes = [sum(f["size"] for f in row) for row in self._levels]
+
+    @staticmethod
+    def _order(f: dict) -> tuple:
+        return f["smallest_key"], f["file_id"]
 
     def level(self, n: int) -> list:
-        return sorted((f for f in self.files if f["level"] == n), key=lambda f: (f["smallest_key"], f["file_id"]))
+        return self._levels[n]
+
+    def move(self, f: dict) -> None:
+        """The file is one level further down from now on."""
+        n, row = f["level"], self._levels[f["level"]]
+        del row[bisect_left(row, self._order(f), key=self._order)]
+        insort(self._levels[n + 1], f | {"level": n + 1}, key=self._order)
+        self._bytes[n] -= f["size"]
+        self._bytes[n + 1] += f["size"]
 
     def overlap(self, n: int, lo=None, hi=None) -> list:
         """Overlapping files; at level 0 the range widens until it is stable, for its files overlap one another."""
+        row = self.level(n)
+        if n:
+            first = 0 if lo is None else bisect_left(row, lo, key=lambda f: f["largest_key"])
+            return row[first : len(row) if hi is None else bisect_right(row, hi, key=lambda f: f["smallest_key"])]
         while True:
-            hit = [f for f in self.level(n) if (lo is None or f["largest_key"] >= lo) and (hi is None or f["smallest_key"] <= hi)]
-            if n or not hit:
+            hit = [f for f in row if (lo is None or f["largest_key"] >= lo) and (hi is None or f["smallest_key"] <= hi)]
+            if not hit:
                 return hit
             low, high = min(f["smallest_key"] for f in hit), max(f["largest_key"] for f in hit)
             if (lo is None or low >= lo) and (hi is None or high <= hi):
@@ -154,11 +230,11 @@ class Picker:
             lo, hi = None if lo is None else min(lo, low), None if hi is None else max(hi, high)
 
     def overlaps(self, n: int, lo, hi) -> bool:
-        return any(f["largest_key"] >= lo and f["smallest_key"] <= hi for f in self.level(n))
+        return bool(self.overlap(n, lo, hi)) if n else any(f["largest_key"] >= lo and f["smallest_key"] <= hi for f in self.level(n))
 
     def scores(self) -> dict[int, float]:
         out = {0: len(self.level(0)) / self.trigger}
-        return out | {n: sum(f["size"] for f in self.level(n)) / (10**n * MIB) for n in range(1, LEVELS - 1)}
+        return out | {n: self._bytes[n] / (10**n * MIB) for n in range(1, LEVELS - 1)}
 
     def memtable_level(self, lo, hi, most: int = 2) -> int:
         """How deep a new table may go: not past an overlap, nor above 10 files' worth two levels down."""
@@ -199,7 +275,10 @@ class Picker:
         if scores[level] < 1:
             return None
         files, at = self.level(level), (pointers or {}).get(level)
-        start = next((f for f in files if at is None or f["largest_key"] > at), files[0])
+        if level == 0 or at is None:
+            start = next((f for f in files if at is None or f["largest_key"] > at), files[0])
+        else:
+            start = files[bisect_right(files, at, key=lambda f: f["largest_key"]) % len(files)]
         inputs = self.overlap(0, start["smallest_key"], start["largest_key"]) if level == 0 else [start]
         return self.expand(level, inputs)
 

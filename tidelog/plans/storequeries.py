@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.model import Options
+from tidelog.operators import compaction
 from tidelog.operators.batch import WriteBatch
 from tidelog.plans.catalogue import TOP, _v, key, plain, query
 from tidelog.plans.testlogs import ORDERS_SQL, orders_log
@@ -75,12 +76,9 @@ def kv_store_tables(spark, d):
     while s.maintain():
         pass
     files = s.files_df()
-    a, b = files.alias("a"), files.alias("b")
-    meets = (F.col("a.level") == F.col("b.level")) & (F.col("a.level") > 0) & (F.col("a.file_id") < F.col("b.file_id")) & (F.col("a.largest_key") >= F.col("b.smallest_key")) & (F.col("b.largest_key") >= F.col("a.smallest_key"))
-    overlaps = a.join(b, meets).agg(F.count("*").alias("overlaps"))
     outside = files.agg(F.count(F.when(F.col("size") > 4 * SMALL.max_file_size, 1)).alias("outside"), (F.count("*") > 1).alias("several"))
     entries = spark.createDataFrame([(sum(f["entries"] for f in s.files),)], "entries bigint")
-    return overlaps.crossJoin(outside).crossJoin(entries)  # three one-row tables
+    return compaction.overlaps(files).crossJoin(outside).crossJoin(entries)  # three one-row tables
 
 
 @query(f"WITH {LOG}, h AS (SELECT count(*) // 3 AS s FROM log), u AS (SELECT log.* FROM log, h WHERE seq <= s), {_v(TOP, 'a', 'u')}, {_v(TOP, 'b')} SELECT 'then' AS at, k, seq, v FROM va UNION ALL SELECT 'now' AS at, k, seq, v FROM vb")
