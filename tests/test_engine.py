@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidelog.functions import codec
+from tidelog.functions import bloom, codec
 from tidelog.functions.bloom import Bloom
 from tidelog.model import KV_LOG, Options, Status
 from tidelog.operators import compaction, manifest, scan, snapshots, view
@@ -305,3 +305,28 @@ def test_tables_end_at_bounds(spark):
     got = compaction.cut_tables(rows, "file_id", 100, bounds).orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(len(got))) and sum(r["entries"] for r in got) == 80
     assert all(not r["smallest_key"][0] <= b[0] < r["largest_key"][0] for r in got for b in bounds) and max(r["size"] for r in got) <= 120
+
+
+def test_filters_are_counted_as_one_by_one(spark, monkeypatch):
+    """Keys of all lengths against filters of many sizes, with ranges that meet some, none and all keys, in several chunks."""
+    rng = random.Random(11)
+    keys = [rng.randbytes(rng.choice((0, 1, 3, 4, 8, 8, 8, 13))) for _ in range(1500)]
+    assert bloom.murmur3_32_of(keys).tolist() == [bloom.murmur3_32(k) for k in keys]
+    filters = []
+    for i in range(400):
+        held = rng.sample(keys, rng.choice((3, 60, 60, 60, 61)))
+        a, b = (min(held), max(held)) if i % 3 else sorted((rng.randbytes(2), rng.randbytes(2)))
+        filters.append((bytearray(a), bytearray(b), bytearray(Bloom(rng.choice((1, 10, 10))).create(held))))
+    filters += [(bytearray(b""), bytearray(b"\x80"), bytearray()), (bytearray(b"\x20"), bytearray(b"\xff"), bytearray(b"\0" * 8 + b"\x1f"))]
+    want = {}
+    for k in keys:
+        n = sum(bytes(a) <= k <= bytes(b) and Bloom().may_hold(k, bytes(raw)) for a, b, raw in filters)
+        if n:
+            want[k] = want.get(k, 0) + n
+    monkeypatch.setattr(bloom, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(bloom, "BLOCK", 100)
+    asked = spark.createDataFrame([(bytearray(k),) for k in keys] + [(None,)], "key binary")
+    got = bloom.count_holding(asked, spark.createDataFrame(filters, "smallest_key binary, largest_key binary, bloom binary"))
+    assert {bytes(r["key"]): r["n_files"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec
-from tidelog.functions.bloom import bloom_by, might_hold
+from tidelog.functions.bloom import bloom_by, count_holding
 from tidelog.model import decode_long
 from tidelog.operators import batch, compaction, manifest, scan, snapshots, view
 from tidelog.plans.testlogs import EVENTS_SQL, FILES_SQL, ORDERS_SQL, events_log, orders_files, orders_log, orders_meta
@@ -394,8 +394,7 @@ def kv_bloom_probe(spark, d):
     filters = bloom_by(files.select(F.col("file_id"), "key"), "file_id")
     keys = spark.read.parquet(f"{d}/customer.parquet").select(_enc("c_custkey").alias("key"))
     spans = orders_meta(spark, d).select("file_id", "smallest_key", "largest_key").join(filters, "file_id")
-    met = keys.join(spans, (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key")))
-    return plain(met.where(might_hold("bloom", "key")).groupBy("key").agg(F.count("*").alias("n_files")))
+    return plain(count_holding(keys, spans))
 
 
 @query()
