@@ -330,3 +330,21 @@ def test_filters_are_counted_as_one_by_one(spark, monkeypatch):
     assert {bytes(r["key"]): r["n_files"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_snapshot_query_takes_no_third_into_one_task(spark, tmp_path, monkeypatch):
+    """The snapshot is taken at the right entry, and not by a limit, which gathers its rows in one task."""
+    from tidelog.plans import storequeries
+
+    statuses = ["O", "F", "P", "O", "O", "F", "O", "P", "O", "F"]
+    rows = [(7 * i, i % 4, statuses[i], f"v{i}") for i in range(10)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    frame = type(spark.range(1))
+    limit = frame.limit
+    monkeypatch.setattr(frame, "limit", lambda df, n: limit(df, n) if n == 1 else pytest.fail(f"limit {n}"))
+    got = {(r["at"], r["k"], r["seq"], r["v"]) for r in storequeries.kv_store_snapshot(spark, str(tmp_path)).collect()}
+    want = set()
+    for at, top in (("then", 3), ("now", 10)):
+        newest = {k: (i + 1, s, v) for i, (_, k, s, v) in enumerate(rows[:top])}
+        want |= {(at, k, seq, v) for k, (seq, s, v) in newest.items() if s != "F"}
+    assert got == want
